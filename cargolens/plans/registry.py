@@ -6,7 +6,7 @@ import importlib
 
 from cargolens.session import tune
 
-FAMILIES = ["shipment"]
+FAMILIES = ["shipment", "validation"]
 
 
 def _entries() -> dict:
