@@ -50,8 +50,10 @@ def _rows(df: DataFrame, found: list[tuple], codes, keys: list[Column]) -> DataF
     if not kept:
         kept = [column for _, column in found[:1]]
         df = df.filter(F.lit(False))
-    rows = df.select(*keys, F.inline(F.filter(F.array(*kept), lambda i: i.isNotNull())))
-    return rows.select(*ISSUE_COLUMNS)
+    names = ["job_id", "pkg_ord", "item_ord", "case_number"]
+    found_rows = F.filter(F.array(*kept), lambda i: i.isNotNull())
+    staged = df.select(*keys, found_rows.alias("_found"))
+    return staged.select(*names, F.inline("_found")).select(*ISSUE_COLUMNS)
 
 
 def missing_package_issues(jobs: DataFrame, packages: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from cargolens.session import tune
 
-FAMILIES = ["shipment", "validation"]
+FAMILIES = ["shipment", "validation", "merging", "output"]
 
 
 def _entries() -> dict:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the plans rely on. Skewed join partitions are split by
 # AQE even when that costs one more exchange, because one key may hold a third
@@ -39,14 +40,32 @@ def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
     return tune(spark)
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A folder for staged tables.
+_LOCAL_DIRS: dict[str, str] = {}
+_STAGED: dict[tuple[str, str], str] = {}
 
-    On a cluster this is below the shared folder named in
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder for staged tables of this application.
+
+    On a cluster it lies below the shared folder named in
     ``spark.checkpoint.dir``; only where that is unset (tests) is a fresh
     temporary folder taken.
     """
+    app = spark.sparkContext.applicationId
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
-        return f"{shared.rstrip('/')}/{name}"
-    return tempfile.mkdtemp(prefix=f"cargolens-{name}-")
+        return f"{shared.rstrip('/')}/cargolens/{app}"
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="cargolens-")
+    return _LOCAL_DIRS[app]
+
+
+def staged(spark: SparkSession, key: str, build) -> DataFrame:
+    """A table written once per application and read back: cuts lineage and survives lost executors."""
+    slot = (spark.sparkContext.applicationId, key)
+    if slot not in _STAGED:
+        name = hashlib.sha256(key.encode()).hexdigest()[:16]
+        path = f"{work_dir(spark)}/{name}"
+        build().write.mode("overwrite").parquet(path)
+        _STAGED[slot] = path
+    return spark.read.parquet(_STAGED[slot])

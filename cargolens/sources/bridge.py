@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cargolens.functions.values import lift
 from cargolens.operators.ordinals import numbered
+from cargolens.session import staged
 
 PACKAGE_FIELDS = ["case_number", "gross_weight", "net_weight", "length", "width", "height"]
 ITEM_FIELDS = ["sequence", "item_number", "description", "quantity", "uom"]
@@ -22,7 +23,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str, *, ordered: bool = True, sized: bool = True) -> DataFrame:
-    """One row per package record. ``sized`` adds what needs the part, ``ordered`` the ordinal in the job."""
+    """One row per package record.
+
+    ``ordered`` records carry their ordinal in the job. They are loaded once
+    per application into a staged table, as every later step reads them.
+    Without an order the lines are read directly; ``sized`` then adds what
+    needs the part.
+    """
+    if ordered:
+        return staged(spark, f"records:{sf_dir}", lambda: load_records(spark, sf_dir))
+    return load_records(spark, sf_dir, ordered=False, sized=sized)
+
+
+def load_records(spark: SparkSession, sf_dir: str, *, ordered: bool = True, sized: bool = True) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     whole = F.col("l_quantity").cast("int")
     if sized:
@@ -150,7 +163,11 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of each project with their ordinal, from 0, in order of the job number."""
+    """Jobs of each project with their ordinal, from 0, in order of the job number; loaded once."""
+    return staged(spark, f"project_jobs:{sf_dir}", lambda: load_project_jobs(spark, sf_dir))
+
+
+def load_project_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("project_id"), F.col("o_orderkey").alias("job_id")
     )
@@ -183,3 +200,105 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("payload"),
         F.col("ts").alias("created_at"),
     )
+
+
+# ---- contexts ------------------------------------------------------------
+
+
+def _struct(names: list[str], given: dict):
+    from cargolens.operators.context import NUMERIC_CONTEXT
+
+    return F.struct(
+        *[
+            given.get(n, F.lit(None)).cast("double" if n in NUMERIC_CONTEXT else "string").alias(n)
+            for n in names
+        ]
+    )
+
+
+def project_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and case defaults of every project, from its customer."""
+    from cargolens.operators.context import CASE_FIELDS, HEADER_FIELDS
+
+    c = table(spark, sf_dir, "customer")
+    segment, balance, nation = F.col("c_mktsegment"), F.col("c_acctbal"), F.col("c_nationkey")
+    header = {
+        "currency": F.when(segment == "BUILDING", "EUR").otherwise("USD"),
+        "supplier_name": F.when(balance >= 0, F.concat(F.lit("Supplier of "), F.col("c_name"))),
+        "project_name": F.col("c_name"),
+        "delivery_location": F.when(nation % 5 != 0, F.concat(F.lit("Nation "), nation.cast("string"))),
+        "other_remarks": F.lit(""),
+    }
+    defaults = {
+        "content_description": segment,
+        "equipment_group": F.when(balance >= 0, "EQ"),
+        "border_crossing_value": balance,
+        "declare_as": F.when(segment == "BUILDING", "System")
+        .when(segment == "MACHINERY", "Loose Parts")
+        .when(segment == "HOUSEHOLD", "Parts"),
+        "purchase_order": F.when(segment == "FURNITURE", "PRJ-PO"),
+        "storage_requirement": F.lit("Indoor"),
+        "packaging_material": F.when(nation % 7 == 0, "CARDBOARD").otherwise("PALLET"),
+        "stackability": F.lit("Not stackable"),
+        "dangerous_goods": F.lit("N"),
+        "remarks": F.lit(""),
+    }
+    return c.select(
+        F.col("c_custkey").alias("project_id"),
+        _struct(HEADER_FIELDS, header).alias("header"),
+        _struct(CASE_FIELDS, defaults).alias("defaults"),
+    )
+
+
+def project_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.operators.context import CASE_FIELDS
+
+    c = table(spark, sf_dir, "customer")
+    first = _struct(
+        CASE_FIELDS,
+        {"equipment_group": F.lit("EQ-0"), "packaging_material": F.lit("DRUM"), "remarks": F.lit("fragile")},
+    )
+    second = _struct(CASE_FIELDS, {"declare_as": F.lit(""), "dangerous_goods": F.lit("Y")})
+    entry = lambda case, values: F.struct(F.lit(case).alias("case_number"), values.alias("override"))
+    rows = F.array(
+        F.when(F.col("c_acctbal") < 0, entry("C-0", first)),
+        F.when(F.col("c_mktsegment") == "BUILDING", entry("C-2", second)),
+    )
+    return c.select(F.col("c_custkey").alias("project_id"), F.explode(rows).alias("_o")).filter(
+        F.col("_o").isNotNull()
+    ).select("project_id", "_o.case_number", "_o.override")
+
+
+def job_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and defaults set on the job itself, for orders that are not open."""
+    from cargolens.operators.context import CASE_FIELDS, HEADER_FIELDS
+
+    o = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") != "O")
+    priority = F.col("o_orderpriority")
+    header = {"currency": F.when(priority == "1-URGENT", "CHF"), "supplier_reference": priority}
+    defaults = {
+        "remarks": F.when(F.col("o_orderstatus") == "P", priority),
+        "border_crossing_value": F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")),
+        "storage_requirement": F.lit(""),
+    }
+    return o.select(
+        F.col("o_orderkey").alias("job_id"),
+        _struct(HEADER_FIELDS, header).alias("header"),
+        _struct(CASE_FIELDS, defaults).alias("defaults"),
+    )
+
+
+def job_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargolens.operators.context import CASE_FIELDS
+
+    o = table(spark, sf_dir, "orders")
+    first = _struct(CASE_FIELDS, {"packaging_material": F.lit("WOODEN_BOX")})
+    second = _struct(CASE_FIELDS, {"remarks": F.lit("by hand"), "packaging_material": F.lit("")})
+    entry = lambda case, values: F.struct(F.lit(case).alias("case_number"), values.alias("override"))
+    rows = F.array(
+        F.when(F.col("o_orderstatus") == "F", entry("C-1", first)),
+        F.when(F.col("o_orderpriority") == "2-HIGH", entry("C-0", second)),
+    )
+    return o.select(F.col("o_orderkey").alias("job_id"), F.explode(rows).alias("_o")).filter(
+        F.col("_o").isNotNull()
+    ).select("job_id", "_o.case_number", "_o.override")
