@@ -10,6 +10,11 @@ from cargolens.functions.values import blank_to_null, strip
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once per row, also where ``use`` loops over it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lines(text: Column) -> Column:
     """Text as an array of lines, without an empty line after a final break."""
     parts = F.split(text, LINE_BREAK)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from cargolens.operators import context as C
@@ -458,7 +460,7 @@ J14_SQL = S.with_(ROWS, LINKS) + """SELECT r.project_id, r.job_id, pkg_ord, c.pr
 def s10_output_readback(spark, sf):
     """Write the output rows, read them again, compare every cell; one summary row."""
     rows = _indexed(spark, sf)
-    return sinks.write_checked(rows, f"{work_dir(spark)}/output-{abs(hash(sf))}")
+    return sinks.write_checked(rows, f"{work_dir(spark)}/output-{hashlib.sha256(sf.encode()).hexdigest()[:12]}")
 
 
 # ---- changes of context --------------------------------------------------

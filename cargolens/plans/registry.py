@@ -6,7 +6,7 @@ import importlib
 
 from cargolens.session import tune
 
-FAMILIES = ["shipment", "validation", "merging", "output"]
+FAMILIES = ["shipment", "validation", "merging", "output", "texts"]
 
 
 def _entries() -> dict:
