@@ -6,7 +6,7 @@ import importlib
 
 from cargolens.session import tune
 
-FAMILIES = ["shipment", "validation", "merging", "output", "texts"]
+FAMILIES = ["shipment", "validation", "merging", "output", "texts", "editing"]
 
 
 def _entries() -> dict:

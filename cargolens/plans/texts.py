@@ -219,7 +219,7 @@ E1_SQL = S.with_(_chunks_sql(900)) + """SELECT request_id, CAST(place AS INT) AS
 def _locators(spark, sf):
     return bridge.table(spark, sf, "labels").select(
         F.col("doc_id").alias("job_id"),
-        F.when(F.col("toxic") == 1, "Document").otherwise("Document, part 2").alias("locator"),
+        F.when(F.col("toxic") == 1, "Document").otherwise("Document, part 3").alias("locator"),
     )
 
 
@@ -230,9 +230,9 @@ def e2_text_for_locators(spark, sf):
 
 
 MATCHED = """hit AS (SELECT DISTINCT c.* FROM chunks c JOIN labels l ON l.doc_id = c.doc_id
- AND (locator = CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 2' END
- OR starts_with(locator, CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 2' END || ',')
- OR starts_with(CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 2' END, locator || ',')))"""
+ AND (locator = CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 3' END
+ OR starts_with(locator, CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 3' END || ',')
+ OR starts_with(CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 3' END, locator || ',')))"""
 E2_SQL = S.with_(_chunks_sql(900), MATCHED) + """SELECT doc_id AS job_id, CAST(length(t) AS INT) AS chars, sha256(t) AS sha256
  FROM (SELECT doc_id, string_agg('[' || locator || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS t
  FROM hit GROUP BY 1)"""
@@ -258,7 +258,7 @@ def e3_excerpts(spark, sf):
 E3_SQL = S.with_(_chunks_sql(900)) + """, hits AS (SELECT c.*, CASE WHEN locator = w THEN 0
   WHEN starts_with(locator, w || ',') OR starts_with(w, locator || ',') THEN 1
   WHEN contains(lower(locator), lower(w)) OR contains(lower(w), lower(locator)) THEN 2 END AS tier FROM chunks c
- JOIN (SELECT doc_id, CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 2' END AS w FROM labels) l ON l.doc_id = c.doc_id),
+ JOIN (SELECT doc_id, CASE toxic WHEN 1 THEN 'Document' ELSE 'Document, part 3' END AS w FROM labels) l ON l.doc_id = c.doc_id),
 good AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, position) AS place FROM hits WHERE tier IS NOT NULL),
 fall AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS place FROM chunks
  WHERE doc_id NOT IN (SELECT doc_id FROM good))
