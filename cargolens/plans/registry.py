@@ -6,7 +6,7 @@ import importlib
 
 from cargolens.session import tune
 
-FAMILIES = ["shipment", "validation", "merging", "output", "texts", "editing"]
+FAMILIES = ["shipment", "validation", "merging", "output", "texts", "editing", "scoring", "lifecycle", "extracting"]
 
 
 def _entries() -> dict:
