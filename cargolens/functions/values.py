@@ -211,8 +211,16 @@ def volume_m3(length: Column, width: Column, height: Column) -> tuple[Column, Co
 
 
 def short_number(value: Column) -> Column:
-    """Six significant digits without trailing zeros: 830, 0.5, 1e+06."""
-    text = F.format_string("%g", value)
+    """Six significant digits without trailing zeros: 830, 0.5, 1e+06.
+
+    The number is first rounded to six digits, a tie to the even digit, since
+    the formatter alone rounds ties up.
+    """
+    rounded = value
+    for power in range(-4, 16):
+        inside = (F.abs(value) >= 10.0**power) & (F.abs(value) < 10.0 ** (power + 1))
+        rounded = F.when(inside, F.bround(value, 5 - power)).otherwise(rounded)
+    text = F.format_string("%g", rounded)
     text = F.regexp_replace(text, r"([.][0-9]*?)0+(e|$)", "$1$2")
     text = F.regexp_replace(text, r"[.](e|$)", "$1")
     return (

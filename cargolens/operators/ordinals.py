@@ -29,14 +29,14 @@ def numbered(
     """
     marks = list(pieces)
     cut = df.withColumns(pieces)
-    counts = cut.groupBy(*keys, *marks).agg(F.count("*").alias("_n"))
+    counts = cut.groupBy(*keys, *marks).agg(F.count("*").alias("_in_piece"))
     before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, *marks, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select(*keys, *marks, F.coalesce(F.sum("_in_piece").over(before), F.lit(0)).alias("_so_far"))
     inside = Window.partitionBy(*keys, *marks).orderBy(*order)
     return (
         cut.join(offsets, [*keys, *marks])
-        .withColumn(name, F.col("_before") + F.row_number().over(inside))
-        .drop(*marks, "_before")
+        .withColumn(name, F.col("_so_far") + F.row_number().over(inside))
+        .drop(*marks, "_so_far")
     )
 
 
@@ -45,12 +45,12 @@ def running_total_before(df: DataFrame, keys: list[str], order: str, amount: str
     cut = df.withColumn("_piece", piece_of(F.col(order)))
     totals = cut.groupBy(*keys, "_piece").agg(F.sum(amount).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_piece", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_before"))
+    offsets = totals.select(*keys, "_piece", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_so_far"))
     inside = Window.partitionBy(*keys, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         cut.join(offsets, [*keys, "_piece"])
-        .withColumn(name, F.col("_before") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-        .drop("_piece", "_before")
+        .withColumn(name, F.col("_so_far") + F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+        .drop("_piece", "_so_far")
     )
 
 
