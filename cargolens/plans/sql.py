@@ -4,7 +4,8 @@ from __future__ import annotations
 
 REC = """rec AS (
 SELECT l.l_orderkey AS job_id,
- row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey) AS pkg_ord,
+ row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+  l.l_quantity, l.l_extendedprice, l.l_shipdate) AS pkg_ord,
  l.l_linenumber AS segment_no,
  CASE WHEN l.l_partkey % 50 = 0 THEN NULL ELSE concat(' C-', CAST(l.l_partkey % 3 AS VARCHAR), ' ') END AS case_value,
  CASE WHEN l.l_partkey % 19 = 0 THEN NULL WHEN l.l_partkey % 23 = 0 THEN 'n/a'

@@ -46,7 +46,7 @@ def load_records(spark: SparkSession, sf_dir: str, *, ordered: bool = True, size
             line,
             ["l_orderkey"],
             {"_line": F.col("l_linenumber"), "_part": F.floor(F.col("l_partkey") / 4096)},
-            ["l_partkey", "l_suppkey"],
+            ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"],
             "pkg_ord",
         )
     columns = {
