@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, compression, sharding, token_counts, toxicity
+from cargolens.llm import bpe, compression, perplexity, sharding, token_counts, toxicity
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.ruled(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
