@@ -7,8 +7,10 @@ from functools import lru_cache
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from cargolens.session import work_dir
 
@@ -162,3 +164,34 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
 
 def batch_column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+#: Buckets of a key filter, each a bitmap of 4 KB: 8 MB in all.
+FILTER_BUCKETS = 2048
+
+
+def key_filter(rows: DataFrame, key: Column):
+    """A column function that is true for every 64-bit key that occurs in rows, and for few others.
+
+    A bitmap of fixed size: with more keys it lets more others through, so a
+    join must still follow.
+    """
+    spark = rows.sparkSession
+    bits = F.pmod(key, F.lit(FILTER_BUCKETS * 32768))
+    maps = rows.select(bits.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    found = {r["bucket"]: np.frombuffer(bytes(r["bits"]), dtype=np.uint8) for r in maps.toLocalIterator()}
+    shared = spark.sparkContext.broadcast(found)
+
+    @F.pandas_udf(BooleanType())
+    def maybe(keys: pd.Series) -> pd.Series:
+        at = np.mod(keys.to_numpy(dtype=np.int64), FILTER_BUCKETS * 32768)
+        # as the built-in functions count: bit 0 is in the last place of bucket 0, from 1 on buckets count up
+        bucket, place = np.where(at > 0, 1 + (at - 1) // 32768, -(at // 32768)), np.where(at > 0, (at - 1) % 32768, -at % 32768)
+        out = np.zeros(len(at), dtype=bool)
+        for b in np.unique(bucket):
+            if (held := shared.value.get(int(b))) is not None:
+                own = bucket == b
+                out[own] = held[place[own] // 8] >> (place[own] % 8) & 1 == 1
+        return pd.Series(out, index=keys.index)
+
+    return maybe

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, compression, perplexity, sharding, token_counts, toxicity, warc
+from cargolens.llm import bpe, compression, decontamination, perplexity, sharding, token_counts, toxicity, warc
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.ruled(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: ASCII letters and digits and everything from U+0080 on, A-Z as a-z.
+SIGN_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: documents that hold windows of benchmark, each window compared as one string of words.
+DECONTAMINATION = f"""
+with d as (select doc_id, {SIGN_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item_id, {SIGN_WORDS} as w from benchmark where item_id is not null),
+starts as (select item_id, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from b where len(w) > 0),
+windows as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from starts),
+sizes as (select distinct k from windows),
+places as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, sizes where len(w) >= k),
+found as (select doc_id, item_id, i, p.k from (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as g from places) p join windows v on p.k = v.k and p.g = v.g),
+hits as (select doc_id, count(distinct i + j) as n_hit from (select doc_id, i, unnest(range(k)) as j from found) group by doc_id),
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item_id, ',' order by item_id)) as sha from (select distinct doc_id, item_id from found) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": DECONTAMINATION}

@@ -99,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         kept = np.flatnonzero(w)
         yield pd.DataFrame({"slot": np.concatenate([[-1], kept]), "weight": np.concatenate([[b], w[kept]])})
 
-    learned = found.select("doc_id", "y", text_slots("text").alias("slots")).coalesce(1).mapInPandas(one_task, "slot long, weight double").toPandas()
+    learned = found.select("doc_id", "y", text_slots("text").alias("slots")).repartition(1).mapInPandas(one_task, "slot long, weight double").toPandas()
     weights = np.zeros(1 << bits, dtype=np.float32)
     own = learned[learned.slot >= 0]
     weights[own.slot.to_numpy(dtype=np.int64)] = own.weight.to_numpy()
