@@ -170,28 +170,36 @@ def batch_column(batch, name: str) -> list:
 FILTER_BUCKETS = 2048
 
 
-def key_filter(rows: DataFrame, key: Column):
-    """A column function that is true for every 64-bit key that occurs in rows, and for few others.
+def key_bits(rows: DataFrame, key: Column) -> dict[int, np.ndarray]:
+    """A bitmap of fixed size in which every 64-bit key that occurs in rows is marked, and few others are.
 
-    A bitmap of fixed size: with more keys it lets more others through, so a
-    join must still follow.
+    With more keys it marks more others, so a join must still follow.
     """
-    spark = rows.sparkSession
     bits = F.pmod(key, F.lit(FILTER_BUCKETS * 32768))
     maps = rows.select(bits.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
-    found = {r["bucket"]: np.frombuffer(bytes(r["bits"]), dtype=np.uint8) for r in maps.toLocalIterator()}
-    shared = spark.sparkContext.broadcast(found)
+    return {r["bucket"]: np.frombuffer(bytes(r["bits"]), dtype=np.uint8) for r in maps.toLocalIterator()}
+
+
+def marked(bits: dict[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """Which keys are marked in key_bits()."""
+    at = np.mod(keys, FILTER_BUCKETS * 32768)
+    # as the built-in functions count: bit 0 lies in bucket 0, from 1 on buckets count up
+    bucket, place = np.where(at > 0, 1 + (at - 1) // 32768, 0), np.where(at > 0, (at - 1) % 32768, 0)
+    out = np.zeros(len(at), dtype=bool)
+    order = np.argsort(bucket, kind="stable")
+    names, starts = np.unique(bucket[order], return_index=True)
+    for b, own in zip(names.tolist(), np.split(order, starts[1:])):
+        if (held := bits.get(b)) is not None:
+            out[own] = held[place[own] // 8] >> (place[own] % 8) & 1 == 1
+    return out
+
+
+def key_filter(rows: DataFrame, key: Column):
+    """A column function that is true for every 64-bit key that occurs in rows, and for few others."""
+    shared = rows.sparkSession.sparkContext.broadcast(key_bits(rows, key))
 
     @F.pandas_udf(BooleanType())
     def maybe(keys: pd.Series) -> pd.Series:
-        at = np.mod(keys.to_numpy(dtype=np.int64), FILTER_BUCKETS * 32768)
-        # as the built-in functions count: bit 0 is in the last place of bucket 0, from 1 on buckets count up
-        bucket, place = np.where(at > 0, 1 + (at - 1) // 32768, -(at // 32768)), np.where(at > 0, (at - 1) % 32768, -at % 32768)
-        out = np.zeros(len(at), dtype=bool)
-        for b in np.unique(bucket):
-            if (held := shared.value.get(int(b))) is not None:
-                own = bucket == b
-                out[own] = held[place[own] // 8] >> (place[own] % 8) & 1 == 1
-        return pd.Series(out, index=keys.index)
+        return pd.Series(marked(shared.value, keys.to_numpy(dtype=np.int64)), index=keys.index)
 
     return maybe

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cargolens.llm import bpe, compression, decontamination, perplexity, sharding, token_counts, toxicity, warc
+from cargolens.llm import bpe, compression, decontamination, near_dup, perplexity, sharding, token_counts, toxicity, warc
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,5 +73,22 @@ from d left join hits using (doc_id) left join items using (doc_id)
 """
 
 
+#: Links of distinct shingle sets, found by their shared shingles, and the smallest id each document reaches.
+NEAR_DUPLICATES = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else [array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)] end)) as s from w),
+classes as (select min(doc_id) as id, s from sets where len(s) > 0 group by s),
+grams as (select id, len(s) as n, unnest(s) as g from classes),
+shared as (select a.id as a, b.id as b, a.n as an, b.n as bn, count(*) as both_n from grams a join grams b on a.g = b.g and a.id < b.id where 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+links as (select a, b from shared where 100 * both_n >= 85 * (an + bn - both_n)),
+both_ways as (select a, b from links union all select b, a from links),
+reached(id, node) as (select id, id from classes union select r.id, b.b from reached r join both_ways b on r.node = b.a),
+smallest as (select id, min(node) as component_id from reached group by id)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, coalesce(component_id, s.doc_id) as component_id, s.doc_id = coalesce(component_id, s.doc_id) as kept
+from sets s left join classes c on s.s = c.s left join smallest l on l.id = c.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": DECONTAMINATION}
+    return {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op2_benchmark_decontamination": DECONTAMINATION}
