@@ -25,7 +25,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from cargolens.llm.common import blocks
 
@@ -227,15 +227,23 @@ def digests(path: str):
     return digest
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) of every row: the ids of the whole text as an array."""
+def token_ids(path: str):
+    """A column function: the ids of each whole text; null and empty texts have none."""
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        out = opened(path).encode(["" if t is None else t for t in texts])
-        return pd.Series([x.astype(np.int32) for x in out], index=texts.index, dtype=object)
+        own, out = opened(path), []
+        whole = ["" if t is None else t for t in texts]
+        for start, part in blocks([t.encode("utf-8", "surrogatepass") for t in whole], TOGETHER):
+            out += [x.astype(np.int32) for x in own.encode(whole[start : start + len(part)])]
+        return pd.Series(out, index=texts.index, dtype=object)
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return ids
+
+
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) of every row: the ids of the whole text as an array."""
+    return docs.select("doc_id", token_ids(path)("text").alias("ids"))
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cargolens.llm import bpe, compression, decontamination, near_dup, perplexity, sharding, token_counts, toxicity, warc
+from cargolens.llm import backoff, bpe, compression, decontamination, near_dup, perplexity, sharding, token_counts, toxicity, warc
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -21,6 +22,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = backoff.scored(table(spark, sf_dir, "documents"))
+    return rows.withColumn("log_score", F.round("log_score", 4))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.ruled(table(spark, sf_dir, "documents"))
 
@@ -90,5 +96,20 @@ from sets s left join classes c on s.s = c.s left join smallest l on l.id = c.id
 """
 
 
+#: Scores by pairs; below 2 ** 18 distinct words the vocabulary holds them all.
+STUPID_BACKOFF = f"""
+with d as (select doc_id, {SIGN_WORDS} as w from documents),
+words as (select doc_id, i, w[i] as w, case when i > 1 then w[i - 1] end as v from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+singles as (select w, count(*) as n from words group by w),
+pairs as (select v, w, count(*) as n from words where v is not null group by v, w having count(*) >= 2),
+total as (select count(*) as n from words),
+each as (select doc_id, case when words.v is null then ln(s.n) - ln(t.n) when p.n is not null then ln(p.n) - ln(f.n) else ln(0.4) + ln(s.n) - ln(t.n) end as score,
+  words.v is not null and p.n is null as backed
+  from words join singles s on s.w = words.w left join singles f on f.w = words.v left join pairs p on p.v = words.v and p.w = words.w cross join total t)
+select d.doc_id, cast(len(w) as bigint) as n_words, round(coalesce(score, 0), 4) as log_score, cast(coalesce(backed, 0) as bigint) as n_backoffs
+from d left join (select doc_id, sum(score) as score, count(*) filter (backed) as backed from each group by doc_id) using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op2_benchmark_decontamination": DECONTAMINATION}
+    return {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op2_benchmark_decontamination": DECONTAMINATION, "op3_stupid_backoff": STUPID_BACKOFF}

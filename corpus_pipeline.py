@@ -1,27 +1,66 @@
-"""From documents to tokens: toxicity, quality rules, near copies, benchmark passages, encoding."""
+"""From documents to tokens: toxicity, quality rules, near copies, benchmark passages, encoding.
+
+Every stage works on what the stage before kept, all of it; all but the last
+return the columns of documents. Columns beside those come through unchanged.
+Rows that repeat a doc_id with an equal text count as copies: the stage on near
+copies keeps one of them. An empty table passes through every stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import toxicity
+from cargolens.llm import bpe, decontamination, near_dup, perplexity, toxicity
 from cargolens.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity is below one half, with all their columns."""
-    score = toxicity.scorer(spark, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    """Rows whose toxicity is below one half. The model learns from the labelled rows of docs."""
+    score = toxicity.scorer(spark, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return docs.where(score(F.col("text")) < 0.5)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic)]
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that pass the plain rules and lie inside their language's perplexity band."""
+    return perplexity.judged(docs).where("verdict").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each group of near copies (three-word shingles, 85 per cent); rows without doc_id stay."""
+    judged = near_dup.near_duplicates(docs, size=3, percent=85)
+    kept = written(judged.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which less than a twentieth of the words lie in benchmark passages."""
+    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = written(found.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row left."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return docs.select("doc_id", bpe.digests(path)("text").alias("r"), bpe.token_ids(path)("text").alias("ids")).select("doc_id", "r.*", "ids")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality rules", keep_quality),
+    ("near copies", keep_one_of_each),
+    ("benchmark passages", drop_contaminated),
+    ("encoding", encode),
+]
 
-#: SQL cannot train the stages' models; tests hold the pipeline against a brute-force version.
+#: SQL cannot train the stages' models; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -29,5 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents, each result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
