@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.functions.values import (
@@ -130,7 +130,7 @@ MAX_QUERIES = 6
 
 
 def answer(packages: DataFrame, issues: DataFrame, jobs: DataFrame, queries: list[dict]) -> list[DataFrame]:
-    """Results of a batch of typed queries; a batch holds at most six, later ones are not read."""
+    """Results of a batch of typed queries; a batch holds at most six, ``refused`` names later ones."""
     out = []
     for query in queries[:MAX_QUERIES]:
         kind = query["operation"]
@@ -149,6 +149,12 @@ def answer(packages: DataFrame, issues: DataFrame, jobs: DataFrame, queries: lis
     return out
 
 
+def refused(spark: SparkSession, queries: list[dict]) -> DataFrame:
+    """One row for each query beyond the six of a batch."""
+    rows = [(n, None, f"a batch holds {MAX_QUERIES} queries") for n in range(MAX_QUERIES + 1, len(queries) + 1)]
+    return spark.createDataFrame(rows, "query_no int, result_rows bigint, refused string")
+
+
 # ---- answers as text lines -----------------------------------------------
 # A job may have any number of matches, so an answer is a table of lines and
 # not one text per job.

@@ -21,6 +21,7 @@ from cargolens.functions.values import (
     is_missing,
     quoted,
     short_number,
+    strip,
 )
 from cargolens.operators.fields import SIDES, item_path, package_path
 from cargolens.operators.ordinals import mark_first
@@ -310,7 +311,7 @@ def acknowledgement_state(actions: DataFrame) -> DataFrame:
         "fingerprint",
         F.when(active, "active").otherwise("revoked").alias("status"),
         "acknowledged_by",
-        blank_to_null(F.btrim("reason")).alias("reason"),
+        blank_to_null(strip(F.col("reason"))).alias("reason"),
         F.when(~active, F.col("_last.actor")).alias("revoked_by"),
     )
 

@@ -91,14 +91,14 @@ L4_SQL = S.with_(AUDIT) + """SELECT job_id, 'm' || CAST(arg_max(k, id) % 7 AS VA
 
 
 def l5_last_messages(spark, sf):
-    """The last five messages of every conversation."""
+    """The last messages of every conversation."""
     talk = bridge.table(spark, sf, "conversations")
-    last = L.last_of_group(talk, "conv_id", "turn", 5)
+    last = L.last_of_group(talk, "conv_id", "turn", L.LAST_MESSAGES)
     return last.select("conv_id", "turn", "role", H.content_hash(F.col("text")).alias("sha256"))
 
 
-L5_SQL = """SELECT conv_id, turn, role, sha256(text) AS sha256 FROM conversations
- QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5"""
+L5_SQL = f"""SELECT conv_id, turn, role, sha256(text) AS sha256 FROM conversations
+ QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {L.LAST_MESSAGES}"""
 
 
 def y1_removable_jobs(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cargolens.operators import context as C
 from cargolens.operators import rules as R
 from cargolens.plans import sql as S
-from cargolens.plans.validation import RULE_SQL, WEIGHT_CODES, weight_issues
+from cargolens.plans.validation import RULE_SQL, issue_rows
 from cargolens.session import staged, work_dir
 from cargolens.sources import bridge
 from cargolens.sources import sinks
@@ -262,7 +262,7 @@ W4_SQL = S.with_(INDEXED) + """SELECT DISTINCT project_id, job_id, case_no AS ca
 def job_messages(spark, sf):
     """Preview messages of every job under its project's context."""
     issues = R.apply_acknowledgements(
-        weight_issues(spark, sf),
+        issue_rows(spark, sf),
         R.acknowledgement_state(_acks(spark, sf)),
     )
     jobs = bridge.jobs(spark, sf)
@@ -274,24 +274,24 @@ def job_messages(spark, sf):
 def _acks(spark, sf):
     from cargolens.plans.validation import ack_actions
 
-    return ack_actions(spark, sf, weight_issues(spark, sf))
+    return ack_actions(spark, sf, issue_rows(spark, sf))
 
 
 def x10_preview_messages(spark, sf):
-    return job_messages(spark, sf).groupBy("job_id", "level").agg(F.count("*").alias("messages"))
+    return job_messages(spark, sf).select("job_id", "level", "message")
 
 
 HEADS = """heads AS (SELECT j.job_id, concat_ws(', ', CASE WHEN coalesce(c.supplier_name, j.supplier_name) IS NULL THEN 'E12' END,
  CASE WHEN project_name IS NULL THEN 'T12' END, CASE WHEN delivery_location IS NULL THEN 'T13' END) AS lack
  FROM jobs j JOIN pctx c ON c.project_id = j.project_id)"""
-MESSAGES = f"""{ROWS}, {HEADS}, iss AS ({" UNION ALL ".join(RULE_SQL[c] for c in WEIGHT_CODES)}),
+MESSAGES = f"""{ROWS}, {HEADS}, iss AS ({" UNION ALL ".join(RULE_SQL.values())}),
 open_rows AS (SELECT job_id, count(*) AS k FROM outrows WHERE {MISSING} <> '' GROUP BY 1),
 msg AS (SELECT iss.job_id, lower(severity) AS level, code || ': ' || message AS message FROM iss
   JOIN jobs ON jobs.job_id = iss.job_id WHERE NOT (severity = 'WARNING' AND order_status = 'F')
  UNION ALL SELECT job_id, 'warning', 'SSD project/header context is incomplete: ' || lack || '.' FROM heads WHERE lack <> ''
  UNION ALL SELECT job_id, 'warning', CAST(k AS VARCHAR)
   || ' package row(s) still need SSD-specific project/default values.' FROM open_rows)"""
-X10_SQL = S.with_(MESSAGES) + "SELECT job_id, level, count(*) AS messages FROM msg GROUP BY 1, 2"
+X10_SQL = S.with_(MESSAGES) + "SELECT job_id, level, message FROM msg"
 
 
 def project_texts(spark, sf):

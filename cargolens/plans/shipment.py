@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from cargolens.functions import values as V
 from cargolens.operators import queries as Q
-from cargolens.operators import rules
 from cargolens.plans import sql as S
+from cargolens.plans.validation import ISSUES, issue_rows
 from cargolens.sources import bridge
 
 WEIGHT_LIMIT = 300.0
@@ -314,9 +314,9 @@ Q3_ALL_SQL = S.with_(S.PK) + """SELECT CASE wu WHEN '' THEN '(unitless)' ELSE wu
 
 
 def q6_batch(spark, sf):
-    """A batch of typed queries over the same tables; each result as (query, rows)."""
+    """A batch of typed queries over the same tables: rows of each result, or why the query was refused."""
     pk = bridge.package_fields(bridge.records(spark, sf))
-    issues = _all_issues(spark, sf)
+    issues = issue_rows(spark, sf)
     batch = [
         {"operation": "count_packages"},
         {"operation": "filter_packages", "field": "gross_weight", "comparator": "gte", "value": 400, "unit": "KG"},
@@ -329,18 +329,20 @@ def q6_batch(spark, sf):
     results = Q.answer(pk, issues, bridge.jobs(spark, sf), batch)
     out = None
     for number, result in enumerate(results, start=1):
-        part = result.agg(F.count("*").alias("result_rows")).select(F.lit(number).alias("query_no"), "result_rows")
+        part = result.agg(F.count("*").alias("result_rows")).select(
+            F.lit(number).alias("query_no"), "result_rows", F.lit(None).cast("string").alias("refused")
+        )
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.unionByName(Q.refused(spark, batch))
 
 
-def _all_issues(spark, sf):
-    pk = bridge.packages(spark, sf)
-    return (
-        rules.missing_package_issues(bridge.jobs(spark, sf), pk)
-        .unionByName(rules.package_issues(pk))
-        .withColumn("resolved", F.lit(False))
-    )
+Q6_SQL = S.with_(ISSUES) + f"""SELECT 1 AS query_no, count(*) AS result_rows, CAST(NULL AS VARCHAR) AS refused FROM orders
+UNION ALL SELECT 2, count(*), NULL FROM pk WHERE gross >= 400 AND wu = 'KG'
+UNION ALL SELECT 3, count(*), NULL FROM pk WHERE wid < 100
+UNION ALL SELECT 4, count(*), NULL FROM (SELECT DISTINCT job_id, wu FROM pk WHERE net IS NOT NULL)
+UNION ALL SELECT 5, count(*), NULL FROM iss WHERE severity = 'BLOCKING'
+UNION ALL SELECT 6, count(*), NULL FROM iss
+UNION ALL SELECT 7, NULL, 'a batch holds {Q.MAX_QUERIES} queries'"""
 
 
 def q7_total_lines(spark, sf):
@@ -394,7 +396,7 @@ QUERIES = {
     "q2_missing_cases": (q2_missing_cases, Q2_MISSING_SQL),
     "q3_sum_by_unit": (q3_sum_by_unit, Q3_SQL),
     "q3_sum_by_unit_all": (q3_sum_by_unit_all, Q3_ALL_SQL),
-    "q6_batch": (q6_batch, None),
+    "q6_batch": (q6_batch, Q6_SQL),
     "q7_total_lines": (q7_total_lines, Q7_TOTAL_SQL),
     "q7_match_lines": (q7_match_lines, Q7_MATCH_SQL),
     "q8_package_summary": (q8_package_summary, Q8_SQL),

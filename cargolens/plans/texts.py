@@ -425,10 +425,10 @@ def rule_documents(spark, sf):
     scalar = F.col("p_size") % 3 == 0
     body = F.concat(
         F.lit("# "), F.col("p_name"), F.lit("\n\n~~~rules-json\n{\"brand\": \""), F.col("p_brand"),
-        F.lit("\", \"limits\": {\"size\": "), size, F.lit(", \"price\": "), price, F.lit("}}\n~~~\n\n"),
+        F.lit("\", \"limits\": {\"size\": "), size, F.lit(", \"price\": "), price, F.lit("}, \"deep\": {\"c\": {\"d\": {\"e\": {\"f\": {\"g\": 1}}}}, \"v\": 1}}\n~~~\n\n"),
         F.lit("~~~rules-yaml\n# limits of the part\nkind: "), F.col("p_type"), F.lit("\nlimits:\n  size: "), key,
         F.lit("\nfield_aliases:\n  Weight "), size, F.lit(": package.gross_weight\n~~~\n\n~~~rules-json\n"),
-        F.when(bad, "[1, 2]").when(scalar, F.concat(F.lit("{\"limits\": "), size, F.lit("}"))).otherwise("{\"more\": {\"a\": 1}}"),
+        F.when(bad, "[1, 2]").when(scalar, F.concat(F.lit("{\"limits\": "), size, F.lit("}"))).otherwise("{\"more\": {\"a\": 1}, \"none\": {}, \"limits\": {}, \"deep\": {\"c\": {\"d\": {\"e\": {\"f\": {\"h\": 2}}}}, \"v\": {}}}"),
         F.lit("\n~~~\n"),
     )
     return p.select(F.concat(F.lit("vendors/"), key, F.lit(".md")).alias("path"), body.alias("text"))
@@ -453,13 +453,16 @@ def n4_merged_rules(spark, sf):
 
 _P = "'vendors/' || CAST(p_partkey AS VARCHAR) || '.md' AS path"
 _SCALAR = "(p_size % 10 <> 0 AND p_size % 3 = 0)"
+_THIRD = "(p_size % 10 <> 0 AND p_size % 3 <> 0)"
 N4_SQL = f"""SELECT {_P}, 'brand' AS key, p_brand AS value FROM part
 UNION ALL SELECT {_P}, 'kind', p_type FROM part
 UNION ALL SELECT {_P}, 'limits/price', CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR) FROM part WHERE NOT {_SCALAR}
 UNION ALL SELECT {_P}, 'limits/size', CAST(p_partkey AS VARCHAR) FROM part WHERE NOT {_SCALAR}
 UNION ALL SELECT {_P}, 'limits', CAST(p_size AS VARCHAR) FROM part WHERE {_SCALAR}
 UNION ALL SELECT {_P}, 'field_aliases/Weight ' || CAST(p_size AS VARCHAR), 'package.gross_weight' FROM part
-UNION ALL SELECT {_P}, 'more/a', '1' FROM part WHERE p_size % 10 <> 0 AND p_size % 3 <> 0"""
+UNION ALL SELECT {_P}, 'deep/c/d/e/f/g', '1' FROM part
+UNION ALL SELECT {_P}, 'deep/v', CASE WHEN {_THIRD} THEN '{{}}' ELSE '1' END FROM part
+UNION ALL SELECT {_P}, k, v FROM part, (VALUES ('more/a', '1'), ('none', '{{}}'), ('deep/c/d/e/f/h', '2')) t(k, v) WHERE {_THIRD}"""
 
 
 def k13_field_aliases(spark, sf):
@@ -523,19 +526,30 @@ K6_SQL = """SELECT p_partkey AS proposal_id, CASE WHEN p_partkey % 4 = 0 THEN 'p
 
 
 def k7_applied_proposals(spark, sf):
-    """Decided proposals; documents of an even brand number changed in between and conflict."""
+    """Decided proposals; documents of an even brand number changed in between and conflict.
+
+    Every pending proposal has an older one on a text long gone, which must not
+    stand in its way, and a later one on the same text, which comes too late.
+    """
     docs = rule_documents(spark, sf)
     moved = F.regexp_extract("text", r"Brand#([0-9]+)", 1).cast("int") % 2 == 0
     now = docs.withColumn("text", F.when(moved, F.concat("text", F.lit("changed\n"))).otherwise(F.col("text")))
-    decided = K.apply_proposals(proposals(spark, sf), now)
+    asked = proposals(spark, sf)
+    pending = asked.filter(F.col("status") == "pending")
+    older = pending.withColumns({"proposal_id": -F.col("proposal_id"), "base_sha256": F.lit("0")})
+    later = pending.withColumn("proposal_id", F.col("proposal_id") + LATER)
+    decided = K.apply_proposals(asked.unionByName(older).unionByName(later), now)
     return decided.select("proposal_id", "status", "decided_by", "applied_sha256", F.col("problem").isNotNull().alias("refused"))
 
 
 _ODD = "CAST(regexp_extract(p_brand, '[0-9]+') AS INT) % 2 = 1"
-K7_SQL = f"""SELECT p_partkey AS proposal_id, CASE WHEN p_partkey % 4 <> 0 THEN 'refused' WHEN {_ODD} THEN 'applied'
+LATER = 1_000_000_000_000
+K7_SQL = f"""SELECT CAST(p_partkey AS BIGINT) AS proposal_id, CASE WHEN p_partkey % 4 <> 0 THEN 'refused' WHEN {_ODD} THEN 'applied'
  ELSE 'pending' END AS status, CASE WHEN p_partkey % 4 = 0 AND {_ODD} THEN 'user' END AS decided_by,
  CASE WHEN p_partkey % 4 = 0 AND {_ODD} THEN sha256('# New' || chr(10) || chr(10) || 'Version: 1' || chr(10) || chr(10)
- || CAST(p_partkey AS VARCHAR)) END AS applied_sha256, NOT (p_partkey % 4 = 0 AND {_ODD}) AS refused FROM part"""
+ || CAST(p_partkey AS VARCHAR)) END AS applied_sha256, NOT (p_partkey % 4 = 0 AND {_ODD}) AS refused FROM part
+UNION ALL SELECT sign * p_partkey + more, 'pending', NULL, NULL, true FROM part, (VALUES (-1, 0), (1, {LATER})) v(sign, more)
+ WHERE p_partkey % 4 = 0"""
 
 
 def k8_rejected_proposals(spark, sf):

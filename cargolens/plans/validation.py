@@ -9,6 +9,7 @@ from cargolens.operators import fields as FL
 from cargolens.operators import queries as Q
 from cargolens.operators import rules as R
 from cargolens.plans import sql as S
+from cargolens.session import staged
 from cargolens.sources import bridge
 
 SHOWN = ["job_id", "code", "severity", "message", "case_number", "field_path"]
@@ -341,15 +342,9 @@ def all_issues(spark, sf):
     return R.validate(bridge.jobs(spark, sf), pk, items, long_fields(spark, sf))
 
 
-def weight_issues(spark, sf):
-    """The issues of cases and weights, enough for counts and acknowledgements."""
-    return R.package_issues(bridge.packages(spark, sf, sized=False)).withColumn("resolved", F.lit(False))
-
-
-WEIGHT_CODES = [
-    c for c in RULE_SQL if c.startswith(("CASE_", "GROSS_", "NET_"))
-]
-WEIGHT_ISSUES = S.PK + ",\niss AS (" + "\nUNION ALL\n".join(RULE_SQL[c] for c in WEIGHT_CODES) + ")"
+def issue_rows(spark, sf):
+    """The issues of all rules, written once: lists, counts and acknowledgements all read them."""
+    return staged(spark, f"issues:{sf}", lambda: all_issues(spark, sf))
 
 
 def v_issue_totals(spark, sf):
@@ -361,28 +356,28 @@ V_TOTALS_SQL = S.with_(ISSUES) + "SELECT code, severity, count(*) AS issues FROM
 
 
 def q5_list_issues(spark, sf):
-    return Q.list_issues(weight_issues(spark, sf), "BLOCKING").select(*SHOWN)
+    return Q.list_issues(issue_rows(spark, sf), "BLOCKING").select(*SHOWN)
 
 
 def a3_issue_counts(spark, sf):
-    return R.issue_counts(bridge.jobs(spark, sf), weight_issues(spark, sf))
+    return R.issue_counts(bridge.jobs(spark, sf), issue_rows(spark, sf))
 
 
-A3_SQL = S.with_(WEIGHT_ISSUES) + """SELECT o_orderkey AS job_id, CAST(0 AS BIGINT) AS info,
+A3_SQL = S.with_(ISSUES) + """SELECT o_orderkey AS job_id, CAST(0 AS BIGINT) AS info,
  count(*) FILTER (severity = 'WARNING') AS warning, count(*) FILTER (severity = 'BLOCKING') AS blocking
  FROM orders LEFT JOIN iss ON iss.job_id = o_orderkey GROUP BY 1"""
 
 
 def q7_issue_lines(spark, sf):
-    return Q.issue_lines(weight_issues(spark, sf))
+    return Q.issue_lines(issue_rows(spark, sf))
 
 
-Q7_ISSUE_SQL = S.with_(WEIGHT_ISSUES) + """SELECT job_id, code, field_path, severity || ' ' || code || ': ' || message
+Q7_ISSUE_SQL = S.with_(ISSUES) + """SELECT job_id, code, field_path, severity || ' ' || code || ': ' || message
  || CASE WHEN coalesce(case_number, '') = '' THEN '' ELSE ' (Case ' || case_number || ')' END AS line FROM iss"""
 
 
 def f21_issue_fingerprint(spark, sf):
-    return R.with_fingerprint(weight_issues(spark, sf)).select("job_id", "code", "field_path", "fingerprint")
+    return R.with_fingerprint(issue_rows(spark, sf)).select("job_id", "code", "field_path", "fingerprint")
 
 
 def _json(name: str) -> str:
@@ -394,7 +389,7 @@ FINGERPRINT = (
     + " || ',\"field_path\":' || " + _json("field_path") + " || ',\"message\":' || " + _json("message")
     + " || ',\"severity\":' || " + _json("severity") + " || '}')"
 )
-F21_SQL = S.with_(WEIGHT_ISSUES) + f"SELECT job_id, code, field_path, {FINGERPRINT} AS fingerprint FROM iss"
+F21_SQL = S.with_(ISSUES) + f"SELECT job_id, code, field_path, {FINGERPRINT} AS fingerprint FROM iss"
 
 
 def ack_actions(spark, sf, issues):
@@ -417,18 +412,18 @@ def ack_actions(spark, sf, issues):
 
 def v22_acknowledgements(spark, sf):
     """State of every acknowledgement after all actions: only warnings have one."""
-    issues = weight_issues(spark, sf)
+    issues = issue_rows(spark, sf)
     return R.acknowledgement_state(ack_actions(spark, sf, issues))
 
 
-V22_SQL = S.with_(WEIGHT_ISSUES) + f"""SELECT DISTINCT job_id, {FINGERPRINT} AS fingerprint,
+V22_SQL = S.with_(ISSUES) + f"""SELECT DISTINCT job_id, {FINGERPRINT} AS fingerprint,
  CASE o_orderstatus WHEN 'F' THEN 'active' ELSE 'revoked' END AS status, 'clerk' AS acknowledged_by,
  'checked' AS reason, CASE o_orderstatus WHEN 'P' THEN 'clerk' END AS revoked_by
  FROM iss JOIN orders ON o_orderkey = job_id WHERE severity = 'WARNING' AND o_orderstatus IN ('F', 'P')"""
 
 
 def acknowledged(spark, sf):
-    issues = weight_issues(spark, sf)
+    issues = issue_rows(spark, sf)
     acks = R.acknowledgement_state(ack_actions(spark, sf, issues))
     return R.apply_acknowledgements(issues, acks)
 
@@ -437,7 +432,7 @@ def j8_resolved_issues(spark, sf):
     return acknowledged(spark, sf).select("job_id", "code", "field_path", "resolved")
 
 
-J8_SQL = S.with_(WEIGHT_ISSUES) + """SELECT job_id, code, field_path,
+J8_SQL = S.with_(ISSUES) + """SELECT job_id, code, field_path,
  severity = 'WARNING' AND o_orderstatus = 'F' AS resolved FROM iss JOIN orders ON o_orderkey = job_id"""
 
 
@@ -445,7 +440,7 @@ def a4_resolved_warnings(spark, sf):
     return R.resolved_warnings(acknowledged(spark, sf))
 
 
-A4_SQL = S.with_(WEIGHT_ISSUES) + """SELECT job_id,
+A4_SQL = S.with_(ISSUES) + """SELECT job_id,
  count(*) FILTER (severity = 'WARNING' AND o_orderstatus = 'F') AS resolved_warnings
  FROM iss JOIN orders ON o_orderkey = job_id GROUP BY 1"""
 
@@ -454,7 +449,7 @@ def p6_unresolved_warnings(spark, sf):
     return Q.list_issues(acknowledged(spark, sf), "WARNING").select("job_id", "code", "field_path")
 
 
-P6_SQL = S.with_(WEIGHT_ISSUES) + """SELECT job_id, code, field_path FROM iss JOIN orders ON o_orderkey = job_id
+P6_SQL = S.with_(ISSUES) + """SELECT job_id, code, field_path FROM iss JOIN orders ON o_orderkey = job_id
  WHERE severity = 'WARNING' AND o_orderstatus <> 'F'"""
 
 
@@ -531,7 +526,7 @@ QUERIES = {
     "v_issue_totals": (v_issue_totals, V_TOTALS_SQL),
     "q5_list_issues": (
         q5_list_issues,
-        S.with_(WEIGHT_ISSUES) + f"SELECT {', '.join(SHOWN)} FROM iss WHERE severity = 'BLOCKING'",
+        S.with_(ISSUES) + f"SELECT {', '.join(SHOWN)} FROM iss WHERE severity = 'BLOCKING'",
     ),
     "q7_issue_lines": (q7_issue_lines, Q7_ISSUE_SQL),
     "a3_issue_counts": (a3_issue_counts, A3_SQL),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,30 +42,53 @@ def local_session(app: str, cores: str = "8", memory: str = "8g") -> SparkSessio
 
 
 _LOCAL_DIRS: dict[str, str] = {}
-_STAGED: dict[tuple[str, str], str] = {}
+_STAGED: dict[tuple[str, str, str], str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder for staged tables of this application.
+    """The folder for staged tables of this application, below the shared folder in ``spark.checkpoint.dir``.
 
-    On a cluster it lies below the shared folder named in
-    ``spark.checkpoint.dir``; only where that is unset (tests) is a fresh
-    temporary folder taken.
+    Where that is unset, a fresh folder serves in a session whose tasks all run
+    in this process (``local[...]``, as in tests); on a cluster it is an error.
     """
-    app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    app = context.applicationId
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/cargolens/{app}"
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="cargolens-")
     return _LOCAL_DIRS[app]
 
 
+def content_mark(spark: SparkSession, path: str) -> str:
+    """Changes when a file of the folder, or of a folder in it, is written anew."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return ""
+    seen, open_ = [], [top]
+    while open_:
+        for s in files.listStatus(open_.pop()):
+            seen.append(f"{s.getPath()} {s.getModificationTime()} {s.getLen()}")
+            if s.isDirectory():
+                open_.append(s.getPath())
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:16]
+
+
 def staged(spark: SparkSession, key: str, build) -> DataFrame:
-    """A table written once per application and read back: cuts lineage and survives lost executors."""
-    slot = (spark.sparkContext.applicationId, key)
+    """A table written once and read back: cuts lineage and survives lost executors.
+
+    ``key`` is a name and, after a colon, the input folder; a changed input
+    makes a new table.
+    """
+    mark = content_mark(spark, key.partition(":")[2])
+    slot = (spark.sparkContext.applicationId, key, mark)
     if slot not in _STAGED:
-        name = hashlib.sha256(key.encode()).hexdigest()[:16]
+        name = hashlib.sha256(f"{key} {mark}".encode()).hexdigest()[:16]
         path = f"{work_dir(spark)}/{name}"
         build().write.mode("overwrite").parquet(path)
         _STAGED[slot] = path
