@@ -28,11 +28,17 @@ RANKS = sorted(STATUS_RANK.values(), reverse=True)
 
 MAPPED = "struct<value:string,value_kind:string,unit:string,raw:string,locator:string,status:string>"
 
-# Package fields taken part in the merge of continuation pages.
+# Package fields beside case and sides, order and shipment fields, and the parts of an item's key.
 CONTINUED_FIELDS = [
     "internal_reference", "volume", "gross_weight", "net_weight", "package_type",
     "package_description", "status", "packed_by", "pack_date",
 ]
+ORDER_FIELDS = [
+    "sales_order", "customer_order_number", "position", "project", "customer_project",
+    "purchase_order", "purchase_order_position",
+]
+SHIPMENT_FIELDS = ["product_type", "description", "country_of_origin", "hs_code", "supplier_name"]
+ITEM_KEY = ["sequence", "position", "item_number", "description", "serial_number", "quantity", "uom", "length"]
 
 
 def mapped(value, kind=None, unit=None, raw=None, locator=None, status=None) -> Column:
@@ -111,7 +117,7 @@ def merged_notes(notes: DataFrame) -> DataFrame:
     return marked.filter((F.col("segment_no") == 1) | F.col("_first")).drop("_first")
 
 
-def _groups(packages: DataFrame, fields: list[str], per_rank: bool) -> DataFrame:
+def _groups(packages: DataFrame, fields: list[str]) -> DataFrame:
     """One row per (job, case): the base record, and per field the best value of later segments.
 
     The base is the last record of the case in the first segment; earlier
@@ -128,15 +134,8 @@ def _groups(packages: DataFrame, fields: list[str], per_rank: bool) -> DataFrame
     ]
     for name in fields:
         field = F.col(name)
-        rank = status_rank(field["status"])
-        if per_rank:
-            for level in RANKS:
-                hit = ~first & _present(field) & (rank == level)
-                aggs.append(F.min(F.when(hit, F.struct("pkg_ord", field.alias("f")))).alias(f"_{name}_{level}"))
-        else:
-            hit = ~first & _present(field)
-            entry = F.struct(rank.alias("rank"), (-F.col("pkg_ord")).alias("early"), field.alias("f"))
-            aggs.append(F.max(F.when(hit, entry)).alias(f"_{name}"))
+        entry = F.struct(status_rank(field["status"]).alias("rank"), (-F.col("pkg_ord")).alias("early"), field.alias("f"))
+        aggs.append(F.max(F.when(~first & _present(field), entry)).alias(f"_{name}"))
     return rows.groupBy("job_id", "_case").agg(*aggs)
 
 
@@ -146,7 +145,7 @@ def merge_segments(packages: DataFrame, fields: list[str]) -> DataFrame:
     Where no value is present the last record stands. Packages without a case
     number never merge.
     """
-    groups = _groups(packages, fields, per_rank=False)
+    groups = _groups(packages, fields)
     out = []
     for name in fields:
         base, best = F.col(f"_base.{name}"), F.col(f"_{name}")
@@ -217,54 +216,113 @@ def merge_items(items: DataFrame, targets: DataFrame, names: list[str], key) ->
     return kept.drop("_key", "_first", "_at")
 
 
+def _long(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """A row for each field of each record: present ones, and all of the first segment."""
+    parts = [
+        F.struct(
+            F.lit(n).alias("name"),
+            F.col(f"{n}.value").alias("value"),
+            F.col(f"{n}.status").alias("status"),
+            typed_text(F.col(n)).alias("text"),
+            _present(F.col(n)).alias("present"),
+        )
+        for n in fields
+    ]
+    flat = rows.select(*keys, "segment_no", F.col("pkg_ord").alias("ord"), F.inline(F.array(*parts)))
+    ranked = flat.withColumns({"rank": status_rank(F.col("status")), "first": F.col("segment_no") == 1})
+    return ranked.filter(F.col("present") | F.col("first")).drop("segment_no")
+
+
+def _ranked(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the base of the first segment and the first record of each rank, all as numbers.
+
+    The base is the last record of the first segment; it comes before all others.
+    """
+    later = ~F.col("first") & F.col("present")
+    code = F.col("ord") * 8 + F.col("rank") * 2 + F.col("present").cast("int")
+    mark = F.when(F.col("present"), F.xxhash64("text"))
+    groups = long.groupBy(*keys).agg(
+        F.max(F.when(F.col("first"), code)).alias("_base"),
+        (F.min(mark) != F.max(mark)).alias("_differs"),
+        F.max("ord").alias("_last"),
+        *[F.min(F.when(later & (F.col("rank") == r), F.col("ord"))).alias(f"_later_{r}") for r in RANKS],
+    )
+    base_present = F.coalesce(F.col("_base") % 2 == 1, F.lit(False))
+    base_rank, base_ord = F.floor(F.col("_base") / 2) % 4, F.floor(F.col("_base") / 8)
+    return groups.withColumns(
+        {f"_at_{r}": F.when(base_present & (base_rank == r), base_ord).otherwise(F.col(f"_later_{r}")) for r in RANKS}
+    )
+
+
+def _conflicts(long: DataFrame, keys: list[str]) -> DataFrame:
+    """Values that differ from the one held when they arrive, with the one kept.
+
+    The value held before a record is the earliest of the highest rank so far,
+    which follows from the first record of each rank. Only groups in which
+    something differs meet their records again.
+    """
+    groups = _ranked(long, keys).filter("_differs").select(*keys, *[f"_at_{r}" for r in RANKS])
+    rows = long.filter(F.col("present") & ~F.col("first")).join(groups, keys)
+    held_at = F.coalesce(*[F.when(F.col(f"_at_{r}") < F.col("ord"), F.col(f"_at_{r}")) for r in RANKS])
+    rows = rows.withColumn("_held_at", held_at).filter(F.col("_held_at").isNotNull())
+    held = long.filter("present").select(
+        *keys, F.col("ord").alias("_held_at"), *[F.col(c).alias(f"_{c}") for c in ("text", "value", "status", "rank")]
+    )
+    met = rows.join(held, [*keys, "_held_at"]).filter(F.col("_text") != F.col("text"))
+    wins = F.col("rank") > F.col("_rank")
+    return met.select(
+        *keys,
+        "ord",
+        F.col("_value").alias("left_value"),
+        F.col("value").alias("right_value"),
+        F.when(wins, F.col("value")).otherwise(F.col("_value")).alias("kept_value"),
+        F.when(wins, F.col("status")).otherwise(F.col("_status")).alias("kept_status"),
+    )
+
+
 def segment_conflicts(packages: DataFrame, fields: list[str]) -> DataFrame:
-    """Values that differ from the value held when they arrive, with the one kept.
+    """Conflicts of package fields between the segments of a case."""
+    rows = packages.withColumn("_case", _case_key()).filter(F.col("_case").isNotNull())
+    found = _conflicts(_long(rows, ["job_id", "_case"], fields), ["job_id", "_case", "name"])
+    side = F.when(F.col("name").isin(SIDES), ".dimensions.").otherwise(".")
+    label = F.concat(F.lit("case "), F.col("_case"), side, F.col("name"))
+    return found.select(
+        "job_id", F.col("ord").alias("pkg_ord"), "name", label.alias("label"), "left_value", "right_value", "kept_value", "kept_status"
+    )
 
-    The value held before a record is the earliest of the highest rank seen so
-    far. It follows from the first record of each rank, so a window over the
-    whole case is not needed.
+
+def _document_names(rows: DataFrame) -> list[str]:
+    return [n for n in (*[f"order_{f}" for f in ORDER_FIELDS], *[f"shipment_{f}" for f in SHIPMENT_FIELDS]) if n in rows.columns]
+
+
+def _document_label() -> Column:
+    return F.regexp_replace("name", "^(order|shipment)_", "$1.")
+
+
+def merge_document_fields(segments: DataFrame) -> DataFrame:
+    """Order and shipment fields over the segments of a job: (job_id, path, value, status).
+
+    ``segments`` hold mapped values in columns order_* and shipment_*. The
+    earliest value of the highest rank wins; without any the last record stands.
     """
-    groups = _groups(packages, fields, per_rank=True)
-    shared = groups.filter(
-        F.col("_first_later").isNotNull()
-        & (F.col("_base").isNotNull() | (F.col("_last.pkg_ord") > F.col("_first_later")))
+    names = _document_names(segments)
+    parts = [F.struct(F.lit(n).alias("name"), F.col(n).alias("f")) for n in names]
+    flat = segments.select("job_id", F.col("pkg_ord").alias("ord"), F.inline(F.array(*parts)))
+    code = (3 - status_rank(F.col("f.status"))) * F.lit(1 << 48) + F.col("ord")
+    best = flat.groupBy("job_id", "name").agg(
+        F.min(F.when(_present(F.col("f")), code)).alias("_best"), F.max("ord").alias("_last")
     )
-    rows = (
-        packages.withColumn("_case", _case_key())
-        .filter(F.col("_case").isNotNull() & (F.col("segment_no") > 1))
-        .join(shared, ["job_id", "_case"])
+    at = best.select("job_id", "name", F.coalesce(F.col("_best") % F.lit(1 << 48), "_last").alias("ord"))
+    return flat.join(at, ["job_id", "name", "ord"]).select("job_id", _document_label().alias("path"), "f.value", "f.status")
+
+
+def document_conflicts(segments: DataFrame) -> DataFrame:
+    """Conflicts of order and shipment fields between the segments of a job."""
+    names = _document_names(segments)
+    found = _conflicts(_long(segments, ["job_id"], names), ["job_id", "name"])
+    return found.select(
+        "job_id", F.col("ord").alias("pkg_ord"), "name", _document_label().alias("label"), "left_value", "right_value", "kept_value", "kept_status"
     )
-    found = []
-    for name in fields:
-        right, base = F.col(name), F.col(f"_base.{name}")
-        base_rank = F.when(F.col("_base").isNotNull() & _present(base), status_rank(base["status"]))
-        held = F.lit(None).cast(MAPPED)
-        for level in reversed(RANKS):
-            first = F.col(f"_{name}_{level}")
-            held = (
-                F.when(base_rank == level, base)
-                .when(first["pkg_ord"] < F.col("pkg_ord"), first["f"])
-                .otherwise(held)
-            )
-        # the held value is the base or the best of the ranks seen, whichever ranks higher
-        clash = _present(right) & held.isNotNull() & (typed_text(held) != typed_text(right))
-        kept = F.when(status_rank(right["status"]) > status_rank(held["status"]), right).otherwise(held)
-        tail = f".dimensions.{name}" if name in SIDES else f".{name}"
-        found.append(
-            F.when(
-                clash,
-                F.struct(
-                    F.lit(name).alias("name"),
-                    F.concat(F.lit("case "), F.col("_case"), F.lit(tail)).alias("label"),
-                    held["value"].alias("left_value"),
-                    right["value"].alias("right_value"),
-                    kept["value"].alias("kept_value"),
-                    kept["status"].alias("kept_status"),
-                ),
-            )
-        )
-    staged = rows.select("job_id", "pkg_ord", F.filter(F.array(*found), lambda c: c.isNotNull()).alias("_found"))
-    return staged.select("job_id", "pkg_ord", F.inline("_found"))
 
 
 def segment_conflict_issues(conflicts: DataFrame) -> DataFrame:

@@ -11,11 +11,24 @@ from cargolens.plans import sql as S
 from cargolens.session import staged
 from cargolens.sources import bridge
 
-FIELDS = bridge.PACKAGE_FIELDS
+# The text of every package field: case, nine further fields, three sides.
 TEXTS = {
-    "case_number": "case_value", "gross_weight": "gross_value", "net_weight": "net_value",
+    "case_number": "case_value", "internal_reference": "item_number", "volume": "item_quantity",
+    "gross_weight": "gross_value", "net_weight": "net_value", "package_type": "returnflag",
+    "package_description": "item_description", "status": "linestatus", "packed_by": "item_uom",
+    "pack_date": "CAST(segment_no AS STRING)",
     "length": "length_value", "width": "width_value", "height": "height_value",
 }
+FIELDS = ["case_number", *M.CONTINUED_FIELDS, *M.SIDES]
+# The text of every order and shipment field in a segment.
+DOCUMENT_TEXTS = {
+    "order.sales_order": "'SO-' || CAST(job_id AS STRING)", "order.customer_order_number": "item_number",
+    "order.position": "CAST(segment_no AS STRING)", "order.project": "CASE WHEN returnflag = 'A' THEN linestatus END",
+    "order.customer_project": "case_value", "order.purchase_order": "gross_value",
+    "order.purchase_order_position": "item_quantity", "shipment.product_type": "returnflag",
+    "shipment.description": "item_description", "shipment.country_of_origin": "CASE WHEN linestatus = 'F' THEN 'DE' ELSE '' END",
+    "shipment.hs_code": "length_value", "shipment.supplier_name": "weight_unit",
+}
 ITEM_TEXTS = {
     "sequence": "CAST(item_seq AS VARCHAR)", "item_number": "item_number", "description": "item_description",
     "quantity": "item_quantity", "uom": "item_uom",
@@ -33,14 +46,29 @@ def mapped_packages(spark, sf):
         "pkg_ord",
         "dim_unit",
         *[
-            M.mapped(F.col(t), unit=unit.get(n), raw=F.col(t), locator=locator, status=F.col("status")).alias(n)
+            M.mapped(F.expr(t), unit=unit.get(n), raw=F.expr(t), locator=locator, status=F.col("status")).alias(n)
             for n, t in TEXTS.items()
         ],
     )
 
 
-# Item numbers differ on every line; a key of these two lets repeats occur.
-COARSE_KEY = ["description", "uom"]
+def whole_packages(spark, sf):
+    """The same records with working values."""
+    required = {"case_number", "gross_weight", "net_weight"}
+    return mapped_packages(spark, sf).select(
+        "job_id", "pkg_ord", *[M.lift_mapped(F.col(n), n in required).alias(n) for n in FIELDS], "dim_unit"
+    )
+
+
+def document_segments(spark, sf):
+    """Order and shipment fields of every segment, here one per order line."""
+    return bridge.records(spark, sf).select(
+        "job_id",
+        "pkg_ord",
+        F.col("pkg_ord").alias("segment_no"),
+        *[M.mapped(F.expr(t), status=F.col("status")).alias(n.replace(".", "_")) for n, t in DOCUMENT_TEXTS.items()],
+    )
+
 
 TARGET = f"""{S.PK},
 home AS (SELECT job_id, case_no, coalesce(max(pkg_ord) FILTER (segment_no = 1), min(pkg_ord)) AS home
@@ -91,44 +119,79 @@ def m5_package_identity(spark, sf):
 M5_SQL = S.with_(TARGET) + "SELECT job_id, pkg_ord, target AS target_ord FROM tg"
 
 
+def printed_items(rec):
+    """Items of every record; the next record of the job prints them once more."""
+    own = bridge.item_fields(rec).withColumns(
+        {n: M.lift_mapped(M.mapped(F.lit(None))) for n in M.ITEM_KEY if n not in bridge.ITEM_FIELDS}
+    )
+    places = rec.select("job_id", "pkg_ord")
+    again = own.withColumns({"pkg_ord": F.col("pkg_ord") + 1, "item_ord": F.lit(2).cast("bigint")})
+    return own.unionByName(again.join(places, ["job_id", "pkg_ord"], "left_semi"))
+
+
+def _kept_items(kept):
+    return kept.select(
+        "job_id", "target_ord", "pkg_ord", "item_ord", current_value(F.col("item_number")).alias("item_number")
+    )
+
+
 def m4_merged_items(spark, sf):
     rec = bridge.records(spark, sf)
-    kept = M.merge_items(
-        bridge.item_fields(rec),
-        M.segment_targets(mapped_packages(spark, sf)),
-        COARSE_KEY,
-        lambda f: M.typed_text(f["source"]),
-    )
-    return kept.select("job_id", "target_ord", "pkg_ord", current_value(F.col("item_number")).alias("item_number"))
+    targets = M.segment_targets(mapped_packages(spark, sf))
+    return _kept_items(M.merge_items(printed_items(rec), targets, M.ITEM_KEY, lambda f: M.typed_text(f["source"])))
 
 
-def _items_sql(target_cte: str, relation: str) -> str:
-    key = " || '|' || ".join(f"coalesce({t}, '~')" for t in (ITEM_TEXTS[n] for n in COARSE_KEY))
+def _items_sql(target_cte: str, relation: str, more: str = "") -> str:
+    key = " || '|' || ".join(f"coalesce({t}, '~')" for t in ITEM_TEXTS.values())
     return S.with_(target_cte) + (
-        f"SELECT job_id, target AS target_ord, pkg_ord, item_number FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY job_id, target, {key} ORDER BY pkg_ord) AS use_no FROM {relation}) "
+        f"SELECT job_id, target AS target_ord, pkg_ord, item_ord, item_number{more} FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY job_id, target, item_key ORDER BY pkg_ord, item_ord) AS use_no FROM ("
+        f"SELECT job_id, target, pkg_ord, 1 AS item_ord, item_number, {key} AS item_key, pkg_ord AS src FROM {relation} "
+        f"UNION ALL SELECT n.job_id, n.target, n.pkg_ord, 2, p.item_number, p.item_key, p.pkg_ord FROM {relation} n "
+        f"JOIN (SELECT job_id, pkg_ord, item_number, {key} AS item_key FROM {relation}) p "
+        f"ON p.job_id = n.job_id AND p.pkg_ord + 1 = n.pkg_ord)) "
         f"WHERE pkg_ord = target OR use_no = 1"
     )
 
 
+def m3_document_fields(spark, sf):
+    """The 7 order and 5 shipment fields of every job after the merge of its segments."""
+    return M.merge_document_fields(document_segments(spark, sf))
+
+
+def _m3() -> str:
+    return S.with_(TARGET) + "\nUNION ALL\n".join(
+        f"SELECT job_id, '{n}' AS path, {_winner(t, t)} AS value, {_winner(t, 'status')} AS status FROM tg GROUP BY 1"
+        for n, t in DOCUMENT_TEXTS.items()
+    )
+
+
+def m6_document_conflicts(spark, sf):
+    """Conflicting order and shipment values of the segments."""
+    conflicts = M.document_conflicts(document_segments(spark, sf))
+    return conflicts.select("job_id", "pkg_ord", "label", "left_value", "right_value", "kept_value", "kept_status")
+
+
 def m6_segment_conflicts(spark, sf):
     conflicts = M.segment_conflicts(mapped_packages(spark, sf), FIELDS)
     return conflicts.select("job_id", "pkg_ord", "label", "left_value", "right_value", "kept_value", "kept_status")
 
 
-def _m6() -> str:
+def _m6(document: bool = False) -> str:
     parts = []
-    for n, t in TEXTS.items():
+    for n, t in (DOCUMENT_TEXTS if document else TEXTS).items():
         tail = f".dimensions.{n}" if n in M.SIDES else f".{n}"
-        frame = "OVER (PARTITION BY job_id, target ORDER BY pkg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        label = f"'{n}'" if document else f"'case ' || case_no || '{tail}'"
+        group = "job_id" if document else "job_id, target"
+        frame = f"OVER (PARTITION BY {group} ORDER BY pkg_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         here = f"coalesce({t}, '') <> ''"
         parts.append(
-            f"SELECT job_id, pkg_ord, 'case ' || case_no || '{tail}' AS label, held AS left_value, val AS right_value, "
+            f"SELECT job_id, pkg_ord, {label} AS label, held AS left_value, val AS right_value, "
             f"CASE WHEN srank > held_rank THEN val ELSE held END AS kept_value, "
             f"CASE WHEN srank > held_rank THEN status ELSE held_status END AS kept_status FROM ("
             f"SELECT *, {t} AS val, arg_min({t}, {KEY}) FILTER ({here}) {frame} AS held, "
             f"arg_min(srank, {KEY}) FILTER ({here}) {frame} AS held_rank, "
-            f"arg_min(status, {KEY}) FILTER ({here}) {frame} AS held_status FROM tg WHERE case_no IS NOT NULL) "
+            f"arg_min(status, {KEY}) FILTER ({here}) {frame} AS held_status FROM tg WHERE {'true' if document else 'case_no IS NOT NULL'}) "
             f"WHERE coalesce(val, '') <> '' AND held IS NOT NULL AND held <> val"
         )
     return S.with_(TARGET) + "\nUNION ALL\n".join(parts)
@@ -165,7 +228,7 @@ def _first(t: str) -> str:
 
 
 def m7_continuation_merge(spark, sf):
-    merged = M.merge_continuations(bridge.packages(spark, sf), FIELDS)
+    merged = M.merge_continuations(whole_packages(spark, sf), FIELDS)
     return merged.select(
         "job_id", "pkg_ord", *[current_value(F.col(n)).alias(n) for n in FIELDS], "dim_unit"
     )
@@ -189,17 +252,12 @@ A5_SQL = S.with_(S.PK) + (
 def w7_continued_items(spark, sf):
     """Items after the continuation merge, compared as stripped text."""
     rec = bridge.records(spark, sf)
-    kept = M.merge_items(
-        bridge.item_fields(rec),
-        M.continuation_targets(bridge.package_fields(rec)),
-        COARSE_KEY,
-        lambda f: strip(current_value(f)),
-    )
-    return kept.select("job_id", "target_ord", "pkg_ord", current_value(F.col("item_number")).alias("item_number"))
+    targets = M.continuation_targets(bridge.package_fields(rec))
+    return _kept_items(M.merge_items(printed_items(rec), targets, M.ITEM_KEY, lambda f: strip(current_value(f))))
 
 
 def v20_continuation_conflicts(spark, sf):
-    conflicts = M.continuation_conflicts(bridge.packages(spark, sf), FIELDS)
+    conflicts = M.continuation_conflicts(whole_packages(spark, sf), FIELDS)
     return M.continuation_issues(conflicts).select("job_id", "pkg_ord", "code", "message", "case_number", "field_path")
 
 
@@ -232,6 +290,8 @@ def _segments(spark, sf):
         F.col("pkg_ord").alias("segment_no"),
         F.when(F.col("linestatus") == "F", F.col("item_description")).otherwise("").alias("vendor"),
         F.when(F.col("weight_unit") == "KG", F.col("item_number")).alias("document_reference"),
+        F.when(F.col("returnflag") == "R", F.col("item_quantity")).alias("document_profile"),
+        F.when(F.col("dim_unit") == "cm", F.col("gross_value")).alias("document_date"),
         F.when(F.col("returnflag") == "A", "packing_list")
         .when(F.col("returnflag") == "N", "delivery_note")
         .otherwise("")
@@ -241,15 +301,18 @@ def _segments(spark, sf):
 
 
 def m1_document_scalars(spark, sf):
-    return M.document_scalars(_segments(spark, sf), ["vendor", "document_reference"])
+    return M.document_scalars(_segments(spark, sf), ["vendor", "document_profile", "document_reference", "document_date"])
 
 
 M1_SQL = S.with_(S.REC, """seg AS (SELECT job_id, pkg_ord,
  CASE WHEN linestatus = 'F' THEN item_description ELSE '' END AS vendor,
- CASE WHEN weight_unit = 'KG' THEN item_number END AS ref,
+ CASE WHEN weight_unit = 'KG' THEN item_number END AS ref, CASE WHEN returnflag = 'R' THEN item_quantity END AS profile,
+ CASE WHEN dim_unit = 'cm' THEN gross_value END AS day,
  CASE returnflag WHEN 'A' THEN 'packing_list' WHEN 'N' THEN 'delivery_note' ELSE '' END AS kind FROM rec)""") + """
 SELECT job_id, arg_min(vendor, pkg_ord) FILTER (vendor <> '') AS vendor,
  arg_min(ref, pkg_ord) FILTER (ref <> '') AS document_reference,
+ arg_min(profile, pkg_ord) FILTER (profile <> '') AS document_profile,
+ arg_min(day, pkg_ord) FILTER (day <> '') AS document_date,
  CASE WHEN arg_min(kind, pkg_ord) <> 'packing_list' THEN arg_min(kind, pkg_ord)
   ELSE coalesce(arg_min(kind, pkg_ord) FILTER (kind NOT IN ('', 'packing_list')), 'packing_list') END AS document_type
 FROM seg GROUP BY 1"""
@@ -288,9 +351,11 @@ def m9_merged_documents(spark, sf):
 QUERIES = {
     "m1_document_scalars": (m1_document_scalars, M1_SQL),
     "m2_segment_merge": (m2_segment_merge, M2_SQL),
+    "m3_document_fields": (m3_document_fields, _m3()),
     "m4_merged_items": (m4_merged_items, _items_sql(TARGET, "tg")),
     "m5_package_identity": (m5_package_identity, M5_SQL),
     "m6_segment_conflicts": (m6_segment_conflicts, _m6()),
+    "m6_document_conflicts": (m6_document_conflicts, _m6(document=True)),
     "m7_continuation_merge": (m7_continuation_merge, M7_SQL),
     "m9_merged_documents": (m9_merged_documents, None),
     "a5_continuation_merges": (a5_continuation_merges, A5_SQL),
