@@ -4,7 +4,7 @@
    corpus are the distinct pre-tokens.
 2. Each distinct pre-token is encoded once and only its number of pieces kept.
 3. A document's pre-tokens with their frequencies meet those numbers. The
-   commonest pre-tokens, a fixed number of them, travel to every task: they
+   commonest pre-tokens, a bounded number of them, travel to every task: they
    are the hot keys of the join and the larger part of its rows. All others
    are joined by hash, so no key holds many rows, and summed per document.
 """
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm.bpe import TOGETHER, opened
-from cargolens.llm.common import batch_column, blocks, mixed, written
+from cargolens.llm.common import batch_column, blocks, commonest, mixed, written
 
-#: Pre-tokens that travel to every task; about 8 MB.
+#: The most pre-tokens that travel to every task; about 8 MB.
 COMMON = 1 << 18
 #: Distinct pre-tokens a task counts before it hands them on.
 HELD = 400_000
@@ -91,7 +91,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = written(piece_counts(frequencies(texts.select("text"), path), path), "pieces")
-    common = known.orderBy(F.desc("n"), "piece").limit(COMMON).select("piece", "pieces").toPandas()
+    common = commonest(known, COMMON).select("piece", "pieces").toPandas()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(common["piece"], common["pieces"].tolist())))
 
     def by_document(batches):
