@@ -3,7 +3,7 @@
 Every word, word beginning, pair of neighbours and pair with one word between
 them is a binary feature in a fixed space of hash slots; beginnings stand for
 the stems of words that take many endings. Training reads a bounded sample of
-labelled rows (`max_rows`, the smallest hashes of doc_id), each coordinate with
+labelled rows (about `max_rows`, those with the smallest hashes of doc_id), each coordinate with
 a learning rate of its own; the L1 term leaves most weights at nought. The
 weights that remain go to all tasks: at most `2 ** bits` of them, so the
 broadcast has a proven size.
@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from cargolens.llm.common import MIX_1, SIGNS, Words, as_bytes, blocks, chained, crc_mod, labelled, mixed, separators
+from cargolens.llm.common import MIX_1, SIGNS, Words, as_bytes, blocks, chained, crc_mod, hashed_share, labelled, mixed, separators
 
 #: Hash slots are 2 ** BITS; 4 MB as 32-bit weights.
 BITS = 20
-#: The largest number of labelled rows that training reads.
+#: About the largest number of labelled rows that training reads.
 MAX_ROWS = 20_000
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 1.0, 3
 #: Bytes of the word beginnings that are features.
@@ -76,14 +76,13 @@ def fit_ftrl(rows: list[np.ndarray], y: np.ndarray, bits: int = BITS, epochs: in
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Weights and intercept from at most max_rows labelled rows outside fold 0.
+    """Weights and intercept from about max_rows labelled rows outside fold 0, or all when there are fewer.
 
     Without labelled rows, or with one class only, all weights are nought and
     the intercept is that of the smoothed share of toxic rows.
     """
-    keys = labels.select("doc_id", "toxic").where("doc_id is not null").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    keys = labelled_sample(keys, max_rows)
-    found = labelled(docs, keys, "toxic")
+    known = labels.select("doc_id", "toxic").where((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull())
+    found = labelled(docs, F.broadcast(hashed_share(known, "doc_id", max_rows)), "toxic")
 
     def one_task(groups):
         parts = list(groups)
@@ -106,11 +105,6 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     return weights, float(learned[learned.slot < 0].weight.sum())
 
 
-def labelled_sample(labels: DataFrame, max_rows: int) -> DataFrame:
-    """The first max_rows of ordered labels that may be learned from; small enough to broadcast by its bound."""
-    return F.broadcast(labels.where(crc_mod("doc_id", 5) != 0).limit(max_rows))
-
-
 def scorer(spark: SparkSession, model: tuple[np.ndarray, float], bits: int = BITS):
     """A column function: the probability that a text is toxic; null and empty texts have the intercept's."""
     shared = spark.sparkContext.broadcast(model)
