@@ -86,14 +86,14 @@ def section_indicators(text: Column, heading: str) -> Column:
     def step(acc: Column, line: Column) -> Column:
         bare = strip(line)
         is_heading = bare.startswith("## ")
-        is_target = folded(strip(F.substring(bare, 4, 1_000_000))) == folded(F.lit(heading))
+        is_target = folded(strip(F.substring(bare, F.lit(4), F.length(bare)))) == folded(F.lit(heading))
         state = (
             F.when(~is_heading | (acc["state"] == 2), acc["state"])
             .when(is_target, 1)
             .when(acc["state"] == 1, 2)
             .otherwise(0)
         )
-        entry = strip(F.btrim(strip(F.substring(bare, 3, 1_000_000)), F.lit("`")))
+        entry = strip(F.btrim(strip(F.substring(bare, F.lit(3), F.length(bare))), F.lit("`")))
         takes = (
             (state == 1)
             & ~is_heading

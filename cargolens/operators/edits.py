@@ -260,8 +260,8 @@ def package_replacements(
         "pkg_ord",
         "case_number",
         F.when(~locked, target).alias("mapped_ord"),
-        F.when(locked, "This case contains manual working-data changes.")
-        .when(target.isNull(), "The reprocessed source did not resolve to the selected package unambiguously.")
+        F.when(locked, "case was edited by hand")
+        .when(target.isNull(), "new mapping has no single match")
         .alias("problem"),
     )
 

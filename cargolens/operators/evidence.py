@@ -71,7 +71,7 @@ def jobs_without_text(chunks: DataFrame, locators: DataFrame) -> DataFrame:
         locators.select("job_id")
         .distinct()
         .join(found, "job_id", "left_anti")
-        .withColumn("reason", F.lit("No retained source sections matched the selected data."))
+        .withColumn("reason", F.lit("no stored text for these locators"))
     )
 
 

@@ -325,8 +325,8 @@ def u8_package_replacements(spark, sf):
 
 
 U8_SQL = S.with_(AGAIN) + """SELECT job_id, pkg_ord, case_number, CASE WHEN NOT locked THEN target END AS mapped_ord,
- CASE WHEN locked THEN 'This case contains manual working-data changes.'
- WHEN target IS NULL THEN 'The reprocessed source did not resolve to the selected package unambiguously.' END AS problem FROM repl"""
+ CASE WHEN locked THEN 'case was edited by hand'
+ WHEN target IS NULL THEN 'new mapping has no single match' END AS problem FROM repl"""
 
 
 def u8_replaced_packages(spark, sf):

@@ -72,9 +72,32 @@ C3_SQL = S.with_(_chunks_sql(900)) + """SELECT doc_id, CAST(position - 1 AS INT)
 
 
 def c4_segments(spark, sf):
-    """Mapping segments, with short chunks and a short target so that documents need several."""
-    out, _ = CH.segments(_assembled(spark, sf, 900), "doc_id", target=3000)
-    return out.select("doc_id", "segment_no", F.length("text").alias("chars"), H.content_hash(F.col("text")).alias("sha256"))
+    """Mapping segments, with short chunks and a short target so that documents need several; too many give one row that says so."""
+    out, rejects = CH.segments(_assembled(spark, sf, 900), "doc_id", target=3000)
+    rows = out.select(
+        "doc_id",
+        "segment_no",
+        F.length("text").alias("chars"),
+        H.content_hash(F.col("text")).alias("sha256"),
+        F.lit(None).cast("string").alias("reason"),
+    )
+    return rows.unionByName(rejects.select("doc_id", "reason"), allowMissingColumns=True)
+
+
+C4_SQL = "WITH RECURSIVE " + _chunks_sql(900) + """,
+sec AS (SELECT doc_id, position, '[' || locator || ']' || chr(10) || text AS s FROM chunks),
+whole AS (SELECT doc_id, sum(length(s)) + 2 * (count(*) - 1) AS total FROM sec GROUP BY 1),
+walk(doc_id, position, seg, chars) AS (SELECT doc_id, position, CAST(1 AS BIGINT), CAST(length(s) AS BIGINT) FROM sec WHERE position = 1
+ UNION ALL SELECT w.doc_id, n.position, CASE WHEN total > 3000 AND w.chars + length(n.s) + 2 > 3000 THEN seg + 1 ELSE seg END,
+ CASE WHEN total > 3000 AND w.chars + length(n.s) + 2 > 3000 THEN length(n.s) ELSE w.chars + length(n.s) + 2 END
+ FROM walk w JOIN sec n ON n.doc_id = w.doc_id AND n.position = w.position + 1 JOIN whole t ON t.doc_id = w.doc_id),
+segs AS (SELECT w.doc_id, seg, string_agg(s, chr(10) || chr(10) ORDER BY w.position) AS t FROM walk w
+ JOIN sec ON sec.doc_id = w.doc_id AND sec.position = w.position GROUP BY 1, 2),
+many AS (SELECT doc_id, max(seg) AS k FROM segs GROUP BY 1 HAVING max(seg) > 24)
+SELECT doc_id, CAST(seg AS INT) AS segment_no, CAST(length(t) AS INT) AS chars, sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS reason
+ FROM segs WHERE doc_id NOT IN (SELECT doc_id FROM many)
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'Document requires ' || CAST(k AS VARCHAR)
+ || ' mapping segments, exceeding the safety limit of 24.' FROM many"""
 
 
 def c5_sliding_segments(spark, sf):
@@ -244,7 +267,7 @@ def e2_jobs_without_text(spark, sf):
 
 
 E2_NONE_SQL = S.with_(_chunks_sql(900), MATCHED) + """SELECT DISTINCT doc_id AS job_id,
- 'No retained source sections matched the selected data.' AS reason FROM labels
+ 'no stored text for these locators' AS reason FROM labels
  WHERE doc_id NOT IN (SELECT doc_id FROM hit)"""
 
 
@@ -482,8 +505,8 @@ def p8_document_paths(spark, sf):
     return pages.select("page_id", K.path_problem(path).alias("problem"))
 
 
-P8_SQL = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Invalid Knowledge document path.'
- WHEN page_id % 3 = 2 AND NOT lower(url) LIKE '%.md' THEN 'Knowledge documents must be Markdown files.' END AS problem FROM pages"""
+P8_SQL = """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'path leaves the folder or is malformed'
+ WHEN page_id % 3 = 2 AND NOT lower(url) LIKE '%.md' THEN 'not a .md path' END AS problem FROM pages"""
 
 
 def p10_content_checks(spark, sf):
@@ -496,7 +519,7 @@ def p10_content_checks(spark, sf):
 
 
 P10_SQL = """SELECT doc_id, CASE lang WHEN 'en' THEN NULL WHEN 'de' THEN 'Knowledge content cannot be blank.'
- ELSE 'Knowledge documents must contain a top-level ''# '' heading.' END AS problem FROM documents"""
+ ELSE 'no heading of the first level' END AS problem FROM documents"""
 
 
 def proposals(spark, sf):
@@ -519,10 +542,10 @@ def k6_proposals(spark, sf):
 
 
 K6_SQL = """SELECT p_partkey AS proposal_id, CASE WHEN p_partkey % 4 = 0 THEN 'pending' ELSE 'refused' END AS status,
- CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'Knowledge document does not exist.'
- WHEN p_partkey % 4 = 3 THEN 'A Knowledge document already exists at that path.'
+ CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 4 = 1 THEN 'no document at this path'
+ WHEN p_partkey % 4 = 3 THEN 'path is taken'
  WHEN p_size % 10 = 0 THEN 'JSON block at line 16 must contain an object.'
- ELSE 'The proposed content does not change the document.' END AS reason FROM part"""
+ ELSE 'text is the same as before' END AS reason FROM part"""
 
 
 def k7_applied_proposals(spark, sf):
@@ -620,7 +643,7 @@ QUERIES = {
     "c1_chunks": (c1_chunks, C1_SQL),
     "c2_assembled_text": (c2_assembled_text, C2_SQL),
     "c3_sections": (c3_sections, C3_SQL),
-    "c4_segments": (c4_segments, None),
+    "c4_segments": (c4_segments, C4_SQL),
     "c5_sliding_segments": (c5_sliding_segments, C5_SQL),
     "c6_segment_rejects": (c6_segment_rejects, C6_SQL),
     "p8_document_paths": (p8_document_paths, P8_SQL),
