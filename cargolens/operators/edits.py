@@ -216,6 +216,15 @@ def proposal_decisions(fields: DataFrame, proposals: DataFrame, changes: DataFra
     )
 
 
+def apply_proposals(fields: DataFrame, decisions: DataFrame, changes: DataFrame, actor: str) -> DataFrame:
+    """Fields with the changes of all proposals decided as applied."""
+    taken = decisions.filter(F.col("status") == "applied").select("proposal_id")
+    edits = changes.join(taken, "proposal_id", "left_semi").select(
+        "job_id", F.col("change_ord").alias("edit_ord"), F.lit(SET).alias("op"), "path", "value", "unit", F.lit(actor).alias("actor"), "reason"
+    )
+    return apply_edits(fields, edits)
+
+
 def rejected(proposals: DataFrame) -> DataFrame:
     return proposals.withColumn(
         "status", F.when(F.col("status") == "pending", "rejected").otherwise(F.col("status"))

@@ -9,18 +9,22 @@ from cargolens.operators import edits as E
 from cargolens.operators import fields as FL
 from cargolens.operators import rules as R
 from cargolens.plans import sql as S
+from cargolens.plans.validation import long_fields
+from cargolens.session import staged
 from cargolens.sources import bridge
 
 PATH = "'packages[' || CAST(pkg_ord - 1 AS VARCHAR) || '].gross_weight'"
+NET = PATH.replace("gross", "net")
+COUNT = PATH.replace("gross_weight", "items[0].quantity")
 
 
 def base_fields(spark, sf):
-    """Gross weights of all packages as editable fields."""
-    return FL.package_fields_long(bridge.packages(spark, sf, sized=False), ["gross_weight"])
+    """All fields of packages, items, orders and shipments as editable fields."""
+    return staged(spark, f"long_fields:{sf}", lambda: long_fields(spark, sf))
 
 
 def edit_rows(spark, sf):
-    """Edits of every gross weight, with reverts of single fields, of packages and of whole jobs."""
+    """Edits of weights, quantities and order fields, with reverts of single fields, of packages and of whole jobs."""
     rec = bridge.records(spark, sf)
     path = FL.package_path("gross_weight")
     null = F.lit(None).cast("string")
@@ -44,35 +48,75 @@ def edit_rows(spark, sf):
         F.when((flag == "N") & ~open_, edit(4, E.REVERT_PACKAGE, package)),
         F.when(flag == "N", edit(5, E.SET, path, F.col("gross_value"), F.lit("G"))),
         F.when(flag == "A", edit(6, E.SET, F.concat(path, F.lit("_x")), F.lit("5"))),
+        F.when(flag == "A", edit(7, E.SET, FL.package_path("net_weight"), F.lit("55"), F.lit("LB"))),
+        F.when(open_, edit(8, E.SET, F.concat(package, F.lit(".items[0].quantity")), F.lit("3"))),
     )
-    whole = bridge.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P")
-    jobs = whole.select(
-        F.col("o_orderkey").alias("job_id"),
-        F.lit(20).cast("bigint").alias("edit_ord"),
-        F.lit(E.REVERT_JOB).alias("op"),
-        null.alias("path"),
-        null.alias("value"),
-        null.alias("unit"),
+    orders = bridge.table(spark, sf, "orders")
+    status = F.col("o_orderstatus")
+    order_edits = F.array(
+        F.struct(F.lit(5).alias("n"), F.lit(E.SET).alias("op"), F.lit("order.purchase_order").alias("path"), F.lit("PO-X").alias("value")),
+        F.when(
+            status == "P", F.struct(F.lit(20).alias("n"), F.lit(E.REVERT_JOB).alias("op"), null.alias("path"), null.alias("value"))
+        ),
+        F.when(
+            status == "P",
+            F.struct(F.lit(30).alias("n"), F.lit(E.SET).alias("op"), F.lit("shipment.supplier_name").alias("path"), F.lit(" Maker ").alias("value")),
+        ),
     )
+    jobs = orders.select(
+        F.col("o_orderkey").alias("job_id"), F.inline(F.filter(order_edits, lambda r: r.isNotNull()))
+    ).select("job_id", F.col("n").cast("bigint").alias("edit_ord"), "op", "path", "value", null.alias("unit"))
     single = rec.select("job_id", F.inline(F.filter(rows, lambda r: r.isNotNull())))
     return single.unionByName(jobs).withColumns({"actor": F.lit("clerk"), "reason": F.lit(" seen ")})
 
 
-# The same edits per record: the last setting, the last unit and the last revert.
-FOLD = f"""{S.PK}, ed AS (SELECT pk.*, {PATH} AS path, coalesce(o_orderstatus = 'P', false) AS job_back,
+def _field_rows() -> str:
+    """Every field with its source value and unit."""
+    texts = {
+        "case_number": "case_value", "gross_weight": "gross_value", "net_weight": "net_value",
+        "length": "length_value", "width": "width_value", "height": "height_value",
+    }
+    items = {
+        "sequence": "CAST(item_seq AS VARCHAR)", "item_number": "item_number", "description": "item_description",
+        "quantity": "item_quantity", "uom": "item_uom",
+    }
+    head = "SELECT job_id, pkg_ord, 'packages[' || CAST(pkg_ord - 1 AS VARCHAR) || ']"
+    rows = []
+    for n, t in texts.items():
+        tail = f".dimensions.{n}" if n in FL.SIDES else f".{n}"
+        unit = "weight_unit" if n.endswith("weight") else "CAST(NULL AS VARCHAR)"
+        rows.append(f"{head}{tail}' AS path, {t} AS src, {unit} AS src_unit FROM pk")
+    rows += [f"{head}.items[0].{n}', {t}, NULL FROM pk" for n, t in items.items()]
+    for n, root in (("purchase_order", "order"), ("purchase_order_position", "order"), ("supplier_name", "shipment")):
+        rows.append(f"SELECT job_id, NULL, '{root}.{n}', {n}, NULL FROM jobs")
+    return "\nUNION ALL\n".join(rows)
+
+
+# The same edits: single settings and reverts that can be applied, then what holds after the last revert.
+FOLD = f"""{S.PK}, {S.JOBS}, fl AS ({_field_rows()}),
+ed AS (SELECT *, {PATH} AS path, {NET} AS net_path, {COUNT} AS count_path,
  returnflag <> 'R' AS s1, linestatus = 'O' AS r2, status = 'SUPPORTED' AS s3, returnflag = 'N' AND linestatus = 'F' AS r4,
  returnflag = 'N' AND (gross IS NOT NULL OR coalesce(gross_value, '') = '') AS s5, '1' || CAST(100 + item_seq AS VARCHAR) AS v1,
- replace(gross_value, ',', '') AS v5
- FROM pk LEFT JOIN orders ON o_orderkey = pk.job_id),
-pos AS (SELECT *, greatest(CASE WHEN r2 THEN pkg_ord * 10 + 2 END, CASE WHEN r4 THEN pkg_ord * 10 + 4 END,
- CASE WHEN job_back THEN 20 END) AS back, CASE WHEN s5 THEN pkg_ord * 10 + 5 WHEN s3 THEN pkg_ord * 10 + 3
- WHEN s1 THEN pkg_ord * 10 + 1 END AS last_set, CASE WHEN s5 THEN v5 WHEN s3 THEN NULL WHEN s1 THEN v1 END AS set_value,
- CASE WHEN s5 THEN pkg_ord * 10 + 5 WHEN s3 THEN pkg_ord * 10 + 3 END AS last_unit,
- CASE WHEN s5 THEN 'G' WHEN s3 THEN 'KG' END AS set_unit FROM ed),
+ replace(gross_value, ',', '') AS v5 FROM pk),
+ev AS (SELECT job_id, path, pkg_ord * 10 + 1 AS ord, 'set' AS op, v1 AS val, CAST(NULL AS VARCHAR) AS u FROM ed WHERE s1
+ UNION ALL SELECT job_id, path, pkg_ord * 10 + 2, 'revert', gross_value, weight_unit FROM ed WHERE r2
+ UNION ALL SELECT job_id, path, pkg_ord * 10 + 3, 'set', NULL, 'KG' FROM ed WHERE s3
+ UNION ALL SELECT job_id, path, pkg_ord * 10 + 5, 'set', v5, 'G' FROM ed WHERE s5
+ UNION ALL SELECT job_id, net_path, pkg_ord * 10 + 7, 'set', '55', 'LB' FROM ed WHERE returnflag = 'A'
+ UNION ALL SELECT job_id, count_path, pkg_ord * 10 + 8, 'set', '3', NULL FROM ed WHERE r2
+ UNION ALL SELECT job_id, 'order.purchase_order', 5, 'set', 'PO-X', NULL FROM jobs
+ UNION ALL SELECT job_id, 'shipment.supplier_name', 30, 'set', 'Maker', NULL FROM jobs WHERE order_status = 'P'),
+ag AS (SELECT job_id, path, max(ord) FILTER (op = 'set') AS last_set, arg_max_null(val, ord) FILTER (op = 'set') AS set_value,
+ max(ord) FILTER (op = 'set' AND u IS NOT NULL) AS last_unit, arg_max(u, ord) FILTER (op = 'set' AND u IS NOT NULL) AS set_unit,
+ max(ord) FILTER (op = 'revert') AS field_back FROM ev GROUP BY 1, 2),
+pos AS (SELECT fl.*, last_set, set_value, last_unit, set_unit, field_back, greatest(field_back,
+  (CASE WHEN ed.r4 THEN ed.pkg_ord * 10 + 4 END), CASE WHEN order_status = 'P' THEN 20 END) AS back FROM fl
+ LEFT JOIN ag ON ag.job_id = fl.job_id AND ag.path = fl.path LEFT JOIN ed ON ed.job_id = fl.job_id AND ed.pkg_ord = fl.pkg_ord
+ LEFT JOIN jobs ON jobs.job_id = fl.job_id),
 st AS (SELECT *, coalesce(last_set > coalesce(back, -1), false) AS touched,
- CASE WHEN coalesce(last_unit > coalesce(back, -1), false) THEN set_unit ELSE weight_unit END AS unit FROM pos),
-fin AS (SELECT *, CASE WHEN touched THEN set_value ELSE gross_value END AS value,
- touched AND NOT (set_value IS NULL AND gross_value IS NULL AND unit = weight_unit) AS modified FROM st)"""
+ CASE WHEN coalesce(last_unit > coalesce(back, -1), false) THEN set_unit ELSE src_unit END AS unit FROM pos),
+fin AS (SELECT *, CASE WHEN touched THEN set_value ELSE src END AS value,
+ touched AND NOT (set_value IS NULL AND src IS NULL AND unit IS NOT DISTINCT FROM src_unit) AS modified FROM st)"""
 
 
 def u1_edited_fields(spark, sf):
@@ -91,9 +135,9 @@ def u1_edited_fields(spark, sf):
     )
 
 
-U1_SQL = S.with_(FOLD) + """SELECT job_id, path, value, CASE WHEN touched THEN unit ELSE weight_unit END AS unit,
+U1_SQL = S.with_(FOLD) + """SELECT job_id, path, value, CASE WHEN touched THEN unit ELSE src_unit END AS unit,
  CASE WHEN modified THEN 'user_edit' ELSE 'source' END AS origin, CASE WHEN modified THEN 'clerk' END AS modified_by,
- CASE WHEN modified THEN 'seen' END AS reason, modified, gross_value AS source_value FROM fin"""
+ CASE WHEN modified THEN 'seen' END AS reason, modified, src AS source_value FROM fin"""
 
 
 def u1_edit_errors(spark, sf):
@@ -123,7 +167,7 @@ def a11_modified_flags(spark, sf):
     return FL.modified_flags(after, ["job_id", "pkg_ord"])
 
 
-A11_SQL = S.with_(FOLD) + "SELECT job_id, pkg_ord, modified FROM fin"
+A11_SQL = S.with_(FOLD) + "SELECT job_id, pkg_ord, bool_or(modified) AS modified FROM fin GROUP BY 1, 2"
 
 
 def q4_modified_fields(spark, sf):
@@ -132,8 +176,8 @@ def q4_modified_fields(spark, sf):
     return modified_fields(E.apply_edits(base_fields(spark, sf), edit_rows(spark, sf)))
 
 
-Q4_SQL = S.with_(FOLD) + f"""SELECT job_id, path, gross_value AS source_value, value AS working_value,
- nullif({S.unit("CASE WHEN coalesce(unit, '') = '' THEN weight_unit ELSE unit END")}, '') AS unit, 'seen' AS reason
+Q4_SQL = S.with_(FOLD) + f"""SELECT job_id, path, src AS source_value, value AS working_value,
+ nullif({S.unit("CASE WHEN coalesce(unit, '') = '' THEN src_unit ELSE unit END")}, '') AS unit, 'seen' AS reason
  FROM fin WHERE modified"""
 
 
@@ -155,18 +199,19 @@ def u3_reverted_counts(spark, sf):
     whole = jobs.select(
         F.col("o_orderkey").alias("job_id"), F.lit(E.REVERT_JOB).alias("op"), F.lit(None).cast("string").alias("path")
     )
-    single = after.select(
-        "job_id", F.lit(E.REVERT_PACKAGE).alias("op"), E.package_of(F.col("path")).alias("path")
-    )
+    package = E.package_of(F.col("path"))
+    single = after.filter(package.isNotNull()).select(
+        "job_id", F.lit(E.REVERT_PACKAGE).alias("op"), package.alias("path")
+    ).distinct()
     return E.reverted_counts(after, whole.unionByName(single))
 
 
-SOLO = f"""{FOLD}, solo AS (SELECT *, coalesce(last_set > coalesce(CASE WHEN r2 THEN pkg_ord * 10 + 2 END, -1), false)
- AND NOT (set_value IS NULL AND gross_value IS NULL AND
-  CASE WHEN coalesce(last_unit > coalesce(CASE WHEN r2 THEN pkg_ord * 10 + 2 END, -1), false) THEN set_unit ELSE weight_unit END
-  = weight_unit) AS changed FROM pos)"""
+SOLO = f"""{FOLD}, solo AS (SELECT *, coalesce(last_set > coalesce(field_back, -1), false)
+ AND NOT (set_value IS NULL AND src IS NULL AND
+  CASE WHEN coalesce(last_unit > coalesce(field_back, -1), false) THEN set_unit ELSE src_unit END
+  IS NOT DISTINCT FROM src_unit) AS changed FROM pos)"""
 U3_SQL = S.with_(SOLO) + """SELECT job_id, 'revert_package' AS op, 'packages[' || CAST(pkg_ord - 1 AS VARCHAR) || ']' AS path,
- CAST(changed::INT AS BIGINT) AS changed FROM solo
+ CAST(count(*) FILTER (changed) AS BIGINT) AS changed FROM solo WHERE pkg_ord IS NOT NULL GROUP BY job_id, pkg_ord
 UNION ALL SELECT o_orderkey, 'revert_job', NULL, coalesce(CAST(count(*) FILTER (changed) AS BIGINT), 0)
  FROM orders LEFT JOIN solo ON job_id = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1"""
 
@@ -175,16 +220,12 @@ def u11_change_log(spark, sf):
     return E.change_log(base_fields(spark, sf), edit_rows(spark, sf))
 
 
-U11_SQL = S.with_(FOLD) + """, ev AS (
- SELECT job_id, path, pkg_ord * 10 + 1 AS edit_ord, 'set' AS op, v1 AS val, NULL AS u, gross_value, weight_unit FROM ed WHERE s1
- UNION ALL SELECT job_id, path, pkg_ord * 10 + 2, 'revert', gross_value, weight_unit, gross_value, weight_unit FROM ed WHERE r2
- UNION ALL SELECT job_id, path, pkg_ord * 10 + 3, 'set', NULL, 'KG', gross_value, weight_unit FROM ed WHERE s3
- UNION ALL SELECT job_id, path, pkg_ord * 10 + 5, 'set', v5, 'G', gross_value, weight_unit FROM ed WHERE s5),
-lg AS (SELECT *, row_number() OVER w AS k, lag(val) OVER w AS prev,
- last_value(u IGNORE NULLS) OVER (PARTITION BY job_id, path ORDER BY edit_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pu
- FROM ev WINDOW w AS (PARTITION BY job_id, path ORDER BY edit_ord))
-SELECT job_id, edit_ord, path, op, CASE WHEN k = 1 THEN gross_value ELSE prev END AS before_value,
- coalesce(pu, weight_unit) AS before_unit, val AS after_value, coalesce(u, pu, weight_unit) AS after_unit FROM lg"""
+U11_SQL = S.with_(FOLD) + """,
+lg AS (SELECT ev.*, src, src_unit, row_number() OVER w AS k, lag(val) OVER w AS prev,
+ last_value(u IGNORE NULLS) OVER (PARTITION BY ev.job_id, ev.path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pu
+ FROM ev JOIN fl ON fl.job_id = ev.job_id AND fl.path = ev.path WINDOW w AS (PARTITION BY ev.job_id, ev.path ORDER BY ord))
+SELECT job_id, ord AS edit_ord, path, op, CASE WHEN k = 1 THEN src ELSE prev END AS before_value,
+ coalesce(pu, src_unit) AS before_unit, val AS after_value, coalesce(u, pu, src_unit) AS after_unit FROM lg"""
 
 
 def n9_change_records(spark, sf):
@@ -241,9 +282,9 @@ F12_SQL = f"""SELECT text, uses, CASE WHEN i THEN b END AS as_int, t <> '' AND N
 
 
 def proposal_changes(spark, sf):
-    """One proposal per job with two changes of every gross weight; some hold no number."""
+    """One proposal per job with changes of every weight; some hold no number, some change the source."""
     rec = bridge.records(spark, sf)
-    path = FL.package_path("gross_weight")
+    path, net = FL.package_path("gross_weight"), FL.package_path("net_weight")
     change = lambda step, path, value: F.struct(
         (F.col("pkg_ord") * 10 + step).alias("change_ord"), path.alias("path"), value.alias("value")
     )
@@ -251,6 +292,7 @@ def proposal_changes(spark, sf):
         change(1, path, F.when(F.col("returnflag") == "R", "many").otherwise("77")),
         change(2, F.concat(F.lit(" "), path), F.lit("88")),
         change(3, F.concat(path, F.lit(".source")), F.lit("99")),
+        change(4, net, F.lit("66")),
     )
     flat = rec.select("job_id", F.col("job_id").alias("proposal_id"), F.inline(rows))
     return flat.withColumns({"unit": F.lit(None).cast("string"), "reason": F.lit("as weighed")})
@@ -263,7 +305,8 @@ def u5_checked_changes(spark, sf):
 
 U5_SQL = S.with_(FOLD) + """SELECT job_id, job_id AS proposal_id, path,
  pkg_ord * 10 + CASE WHEN returnflag = 'R' THEN 2 ELSE 1 END AS change_ord,
- CASE WHEN returnflag = 'R' THEN '88' ELSE '77' END AS new_value FROM ed"""
+ CASE WHEN returnflag = 'R' THEN '88' ELSE '77' END AS new_value FROM ed
+UNION ALL SELECT job_id, job_id, net_path, pkg_ord * 10 + 4, '66' FROM ed"""
 
 
 def _proposals(spark, sf):
@@ -274,24 +317,54 @@ def _proposals(spark, sf):
     )
 
 
+def _stored_changes(spark, sf):
+    """What a proposal keeps: its checked changes."""
+    checked = E.checked_proposals(base_fields(spark, sf), proposal_changes(spark, sf))
+    return checked.select("job_id", "proposal_id", "change_ord", "path", F.col("new_value").alias("value"), "unit", "reason")
+
+
+def _fields_now(spark, sf):
+    """The fields when proposals are decided: of partly shipped orders the net weights are gone."""
+    pending = bridge.table(spark, sf, "orders").filter(F.col("o_orderstatus") == "P").select(
+        F.col("o_orderkey").alias("job_id"), F.lit("net_weight").alias("name")
+    )
+    return base_fields(spark, sf).join(pending, ["job_id", "name"], "left_anti")
+
+
 def u6_applied_proposals(spark, sf):
-    firsts = proposal_changes(spark, sf).filter(F.col("change_ord") % 10 == 1)
-    return E.proposal_decisions(base_fields(spark, sf), _proposals(spark, sf), firsts)
+    """Decisions: a proposal applies when all of its changes still fit the fields."""
+    return E.proposal_decisions(_fields_now(spark, sf), _proposals(spark, sf), _stored_changes(spark, sf))
 
 
-U6_SQL = """SELECT o_orderkey AS proposal_id, o_orderkey AS job_id, coalesce(n, 0) AS changes,
- CASE WHEN o_orderstatus = 'O' THEN 'rejected' WHEN coalesce(ok, false) THEN 'applied' ELSE 'pending' END AS status,
- CASE WHEN o_orderstatus = 'O' THEN 'Proposal is already rejected.' WHEN NOT coalesce(ok, false)
+U6_SQL = """SELECT o_orderkey AS proposal_id, o_orderkey AS job_id, coalesce(2 * n, 0) AS changes,
+ CASE WHEN o_orderstatus = 'O' THEN 'rejected' WHEN n > 0 AND o_orderstatus = 'F' THEN 'applied' ELSE 'pending' END AS status,
+ CASE WHEN o_orderstatus = 'O' THEN 'Proposal is already rejected.' WHEN NOT (coalesce(n, 0) > 0 AND o_orderstatus = 'F')
   THEN 'A proposed change can not be applied.' END AS problem
- FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1)
- ON l_orderkey = o_orderkey"""
+ FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+
+
+def u6_fields_after(spark, sf):
+    """All fields with the changes of the applied proposals in place."""
+    fields, changes = _fields_now(spark, sf), _stored_changes(spark, sf)
+    after = E.apply_proposals(fields, E.proposal_decisions(fields, _proposals(spark, sf), changes), changes, "user")
+    f = F.col("field")
+    return after.select("job_id", "path", V.current_value(f).alias("value"), f["modified"].alias("modified"), f["working"]["modified_by"].alias("modified_by"))
+
+
+U6_FIELDS_SQL = S.with_(FOLD) + """SELECT fl.job_id, fl.path, CASE WHEN changed IS NULL THEN src ELSE changed END AS value,
+ changed IS NOT NULL AS modified, CASE WHEN changed IS NOT NULL THEN 'user' END AS modified_by FROM fl JOIN jobs ON jobs.job_id = fl.job_id
+ LEFT JOIN (SELECT ed.job_id, path, CASE WHEN returnflag = 'R' THEN '88' ELSE '77' END AS changed FROM ed
+  JOIN jobs ON jobs.job_id = ed.job_id WHERE order_status = 'F'
+  UNION ALL SELECT ed.job_id, net_path, '66' FROM ed JOIN jobs ON jobs.job_id = ed.job_id WHERE order_status = 'F') c
+  ON c.job_id = fl.job_id AND c.path = fl.path
+ WHERE NOT (order_status = 'P' AND fl.path LIKE '%.net_weight')"""
 
 
 def u7_rejected_proposals(spark, sf):
-    return E.rejected(_proposals(spark, sf)).groupBy("status").agg(F.count("*").alias("proposals"))
+    return E.rejected(_proposals(spark, sf))
 
 
-U7_SQL = "SELECT 'rejected' AS status, count(*) AS proposals FROM orders"
+U7_SQL = "SELECT o_orderkey AS proposal_id, o_orderkey AS job_id, 'rejected' AS status FROM orders"
 
 
 # ---- mapping again -------------------------------------------------------
@@ -365,6 +438,7 @@ QUERIES = {
     "u4_job_status": (u4_job_status, U4_SQL),
     "u5_checked_changes": (u5_checked_changes, U5_SQL),
     "u6_applied_proposals": (u6_applied_proposals, U6_SQL),
+    "u6_fields_after": (u6_fields_after, U6_FIELDS_SQL),
     "u7_rejected_proposals": (u7_rejected_proposals, U7_SQL),
     "u8_package_replacements": (u8_package_replacements, U8_SQL),
     "u8_replaced_packages": (u8_replaced_packages, U8_REPLACED_SQL),
