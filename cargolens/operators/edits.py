@@ -47,7 +47,12 @@ def checked_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
-    """Fields after all sound edits. The source side never changes."""
+    """Fields after all sound edits. The source side never changes.
+
+    A revert of a package or a job means something to fields that were set or
+    had been changed before; only those meet it. All other fields meet nothing
+    but the edits of their own path, in one join.
+    """
     sound = checked_edits(fields, edits).filter(F.col("error").isNull())
     is_set = F.col("op") == SET
     change = F.struct("edit_ord", "new_value", "new_kind", "actor", "reason")
@@ -64,13 +69,20 @@ def apply_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
     per_job = (
         edits.filter(F.col("op") == REVERT_JOB).groupBy("job_id").agg(F.max("edit_ord").alias("_job_revert"))
     )
-    joined = (
-        fields.withColumn("_package", package_of(F.col("path")))
-        .join(per_field, ["job_id", "path"], "left")
-        .join(per_package, ["job_id", "_package"], "left")
-        .join(per_job, "job_id", "left")
-    )
     f = F.col("field")
+    as_read = ~f["modified"] & f["working"].isNotNull()
+
+    def with_reverts(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("_package", package_of(F.col("path")))
+            .join(per_package, ["job_id", "_package"], "left")
+            .join(per_job, "job_id", "left")
+            .drop("_package")
+        )
+
+    own = fields.filter(as_read).join(with_reverts(per_field), ["job_id", "path"], "left")
+    changed = with_reverts(fields.filter(~F.coalesce(as_read, F.lit(False))).join(per_field, ["job_id", "path"], "left"))
+    joined = own.unionByName(changed)
     reverted = F.greatest("_field_revert", "_package_revert", "_job_revert")
     since = F.coalesce(reverted, F.lit(-1))
     touched = F.coalesce(F.col("_set.edit_ord") > since, F.lit(False))

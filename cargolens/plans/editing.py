@@ -10,7 +10,6 @@ from cargolens.operators import fields as FL
 from cargolens.operators import rules as R
 from cargolens.plans import sql as S
 from cargolens.plans.validation import long_fields
-from cargolens.session import staged
 from cargolens.sources import bridge
 
 PATH = "'packages[' || CAST(pkg_ord - 1 AS VARCHAR) || '].gross_weight'"
@@ -20,7 +19,7 @@ COUNT = PATH.replace("gross_weight", "items[0].quantity")
 
 def base_fields(spark, sf):
     """All fields of packages, items, orders and shipments as editable fields."""
-    return staged(spark, f"long_fields:{sf}", lambda: long_fields(spark, sf))
+    return long_fields(spark, sf)
 
 
 def edit_rows(spark, sf):

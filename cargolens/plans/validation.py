@@ -219,9 +219,8 @@ def long_fields(spark, sf):
     """Every field of packages, items, orders and shipments with its path."""
     rec = bridge.records(spark, sf)
     pk = bridge.package_fields(rec)
-    items = bridge.item_fields(rec.withColumn("item_case", F.col("case_value")))
     # an item stands on the same line as its package, so the case needs no join here
-    with_case = items.join(R.package_cases(pk), ["job_id", "pkg_ord"], "left")
+    with_case = bridge.item_fields(rec, case_text(lift(F.col("case_value"), required=True)).alias("case_number"))
     item_rows = FL._long(
         with_case,
         bridge.ITEM_FIELDS,

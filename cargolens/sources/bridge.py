@@ -7,7 +7,7 @@ ambiguous status come from the columns of the line and its part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargolens.functions.values import lift
@@ -122,7 +122,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_fields(records(spark, sf_dir))
 
 
-def item_fields(rec: DataFrame) -> DataFrame:
+def item_fields(rec: DataFrame, *more: Column) -> DataFrame:
+    """Items with their fields, and further columns of the records."""
     locator = F.concat(F.lit("Page "), F.col("segment_no").cast("string"))
 
     def field(value, kind=None):
@@ -140,6 +141,7 @@ def item_fields(rec: DataFrame) -> DataFrame:
         field(F.col("item_description")).alias("description"),
         field(F.col("item_quantity")).alias("quantity"),
         field(F.col("item_uom")).alias("uom"),
+        *more,
     )
 
 
