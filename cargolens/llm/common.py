@@ -8,6 +8,7 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
@@ -16,7 +17,7 @@ from cargolens.session import work_dir
 
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Bytes of text hashed at once; one longer text makes a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 MIX_1, MIX_2, STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between Spark and Python. Rows here hold whole texts, so ten thousand rows would be a lot.
+ARROW_BYTES = 8 << 20
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ARROW_BYTES; every operator calls it before it reads texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own for every call, in the folder all executors share."""
     return f"{work_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
@@ -131,7 +141,10 @@ class Words:
         self.bounds = np.searchsorted(self.starts, np.concatenate([[0], np.cumsum(sizes)]))
         up, self._down = _powers(len(data))
         with np.errstate(over="ignore"):
-            self._total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_byte_values()[data] * up[: len(data)], dtype=np.uint64)])
+            values = _byte_values()[data]
+            values *= up[: len(data)]
+            self._total = np.zeros(len(data) + 1, dtype=np.uint64)
+            np.cumsum(values, out=self._total[1:])
         self.hashes = self._spans(self.ends)
 
     def _spans(self, ends: np.ndarray) -> np.ndarray:
@@ -162,6 +175,26 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, texts[start:]
 
 
+def text_blocks(batch, limit: int = BLOCK_BYTES, column: str = "text") -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of an Arrow batch as bytes in runs of about `limit` bytes, with the place of their first; nulls are empty.
+
+    Few rows at a time leave Arrow's memory, so a large batch is not held twice.
+    """
+    values = batch.column(batch.schema.get_field_index(column))
+    start, size, held = 0, 0, []
+    for a in range(0, len(values), 256):
+        for text in values.slice(a, 256).cast("binary").to_pylist():
+            text = text or b""
+            if held and size + len(text) > limit:
+                yield start, held
+                start, size, held = start + len(held), 0, []
+            held.append(text)
+            size += len(text) + 1
+    if held:
+        yield start, held
+    pa.default_memory_pool().release_unused()
+
+
 def batch_column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
