@@ -22,16 +22,17 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from cargolens.llm.common import blocks
+from cargolens.llm.common import blocks, narrow_batches, text_blocks
 
 NONE = np.int64(1) << 60
 #: Distinct pre-tokens a task remembers, and bytes of text that are looked up together.
-REMEMBERED, TOGETHER = 300_000, 1 << 22
+REMEMBERED, TOGETHER = 200_000, 1 << 20
 #: The split patterns of the two public files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -227,23 +228,37 @@ def digests(path: str):
     return digest
 
 
-def token_ids(path: str):
-    """A column function: the ids of each whole text; null and empty texts have none."""
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row: round_trip() with the ids themselves."""
+    narrow_batches(docs.sparkSession)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        own, out = opened(path), []
-        whole = ["" if t is None else t for t in texts]
-        for start, part in blocks([t.encode("utf-8", "surrogatepass") for t in whole], TOGETHER):
-            out += [x.astype(np.int32) for x in own.encode(whole[start : start + len(part)])]
-        return pd.Series(out, index=texts.index, dtype=object)
-
-    return ids
+    def rows(batches):
+        own = opened(path)
+        for batch in batches:
+            for start, part in text_blocks(batch, TOGETHER):
+                split = [own.split(t.decode("utf-8", "surrogatepass")) for t in part]
+                own.learn(set().union(*split))
+                ids = [b"".join([own.known[t] for t in s]) for s in split]
+                shown = [" ".join([own.shown[t] for t in s]) for s in split]
+                sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+                yield pa.record_batch(
+                    {
+                        "doc_id": batch.column(0).slice(start, len(part)),
+                        "n_tokens": pa.array(sizes),
+                        "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                        "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in shown]),
+                        "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat),
+                    }
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of every row: the ids of the whole text as an array."""
-    return docs.select("doc_id", token_ids(path)("text").alias("ids"))
+    return tokenized(docs, path).select("doc_id", "ids")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -264,5 +279,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     rows equal results; a null doc_id is kept. An empty table gives an empty
     result; columns but doc_id and text are not looked at.
     """
+    narrow_batches(docs.sparkSession)
     digest = digests(path)
     return docs.select("doc_id", digest("text").alias("r")).select("doc_id", "r.*")

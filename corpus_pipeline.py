@@ -48,8 +48,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of every row left."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return docs.select("doc_id", bpe.digests(path)("text").alias("r"), bpe.token_ids(path)("text").alias("ids")).select("doc_id", "r.*", "ids")
+    return bpe.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
