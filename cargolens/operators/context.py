@@ -526,5 +526,10 @@ def attach_jobs(links: DataFrame, requests: DataFrame, mapped_jobs: DataFrame) -
     return links.select("project_id", "job_id", "ordinal").unionByName(added)
 
 
+def detach_jobs(links: DataFrame, requests: DataFrame) -> DataFrame:
+    """Links without those asked to go, by project and job; the others keep their ordinals."""
+    return links.join(requests.select("project_id", "job_id").distinct(), ["project_id", "job_id"], "left_anti")
+
+
 def unattached_jobs(mapped_jobs: DataFrame, links: DataFrame) -> DataFrame:
     return mapped_jobs.join(links.select("job_id").distinct(), "job_id", "left_anti")

@@ -587,6 +587,16 @@ SELECT ok.project_id, ok.job_id, coalesce(last, -1) + row_number() OVER (PARTITI
  FROM ok LEFT JOIN ends ON ends.project_id = ok.project_id"""
 
 
+def x13_detached_jobs(spark, sf):
+    """Links after orders of an even number have left their project; a wish that names another project does nothing."""
+    links = bridge.project_jobs(spark, sf)
+    even = F.when(F.col("job_id") % 2 == 0, F.col("project_id")).otherwise(F.col("project_id") + 1)
+    return C.detach_jobs(links, links.select("job_id", even.alias("project_id")))
+
+
+X13_DETACHED_SQL = S.with_(LINKS) + "SELECT project_id, job_id, ordinal FROM links WHERE job_id % 2 = 1"
+
+
 def a9_next_ordinal(spark, sf):
     done, _ = _links_and_requests(spark, sf)
     projects = bridge.table(spark, sf, "customer").select(F.col("c_custkey").alias("project_id"))
@@ -626,6 +636,7 @@ QUERIES = {
     "x11_project_messages": (x11_project_messages, X11_MESSAGES_SQL),
     "x12_release_gates": (x12_release_gates, X12_SQL),
     "x13_attached_jobs": (x13_attached_jobs, X13_SQL),
+    "x13_detached_jobs": (x13_detached_jobs, X13_DETACHED_SQL),
     "a6_rows_missing_context": (a6_rows_missing_context, A6_SQL),
     "a7_project_totals": (a7_project_totals, A7_SQL),
     "a9_next_ordinal": (a9_next_ordinal, A9_SQL),

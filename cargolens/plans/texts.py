@@ -597,7 +597,7 @@ F22_SQL = S.with_(S.REC) + """SELECT job_id, pkg_ord, left(sha256('gross_weight|
 
 
 def k9_learned_examples(spark, sf):
-    """One learned example per part document: its price corrected to its size."""
+    """One learned example per part document: its price corrected to its size; every fifth size was not corrected."""
     docs = rule_documents(spark, sf)
     p = bridge.table(spark, sf, "part")
     changes = p.select(
@@ -608,17 +608,19 @@ def k9_learned_examples(spark, sf):
         F.lit(None).cast("string").alias("source_raw"),
         F.lit("Page 1").alias("locator"),
         F.col("p_brand").alias("note"),
+        (F.col("p_size") % 5 != 0).alias("modified"),
     )
     out = K.learned_examples(changes, docs, "learned")
     tail = F.regexp_extract("text", r"(?s)(## Learned Mapping Examples.*)$", 1)
     return out.select("path", "fingerprint", H.content_hash(tail).alias("example_sha256"), "problem")
 
 
-K9_SQL = f"""SELECT {_P}, fp AS fingerprint, sha256('## Learned Mapping Examples' || chr(10) || chr(10)
+K9_SQL = f"""SELECT {_P}, fp AS fingerprint, CASE WHEN p_size % 5 <> 0 THEN sha256('## Learned Mapping Examples' || chr(10) || chr(10)
  || '### Learned example — packages[0].gross_weight' || chr(10) || chr(10) || '<!-- learned:' || fp || ' -->' || chr(10) || chr(10)
  || '- Canonical field: `packages[0].gross_weight`' || chr(10) || '- Source value: `' || price || '`' || chr(10)
  || '- Expected working value: `' || CAST(p_size AS VARCHAR) || '`' || chr(10) || '- Source locator: Page 1' || chr(10)
- || '- Operator note: ' || p_brand || chr(10)) AS example_sha256, CAST(NULL AS VARCHAR) AS problem FROM (
+ || '- Operator note: ' || p_brand || chr(10)) END AS example_sha256,
+ CASE WHEN p_size % 5 = 0 THEN 'field is not changed' END AS problem FROM (
  SELECT *, left(sha256('packages[0].gross_weight|' || price || '|' || CAST(p_size AS VARCHAR) || '||Page 1|' || p_brand), 16) AS fp
  FROM (SELECT *, CAST(CAST(floor(p_retailprice) AS INT) AS VARCHAR) AS price FROM part))"""
 
