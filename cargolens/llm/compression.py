@@ -1,7 +1,7 @@
 """Quality by compression: which of two zstandard dictionaries packs a text better.
 
 One dictionary is trained on a bounded sample of good labelled texts, one on
-bad ones (`max_rows` of each, the smallest hashes of doc_id). A text is cut
+bad ones (about `max_rows` of each, those with the smallest hashes of doc_id). A text is cut
 into pieces of equal size, all of it, and each piece is packed with either
 dictionary; the difference of the packed sizes over the text's length is one
 number that does not depend on how long the text is. A logistic curve fitted to
@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from cargolens.llm.common import as_bytes, crc_mod, labelled
+from cargolens.llm.common import as_bytes, crc_mod, hashed_share, labelled, narrow_batches
 
-#: Labelled rows of each class that go into a dictionary, and as many again that calibrate.
+#: About so many labelled rows of each class at most that go into a dictionary, and as many again that calibrate.
 MAX_ROWS = 1000
 DICTIONARY_BYTES = 112 * 1024
 #: Bytes of a piece, and the compression level.
@@ -83,17 +83,17 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[bytes, bytes, tuple[float, float, float]]:
-    """Two dictionaries and the curve, from at most 2 * max_rows good and as many bad rows outside fold 0.
+    """Two dictionaries and the curve, from about 2 * max_rows good and as many bad rows outside fold 0.
 
     Of each class, every second row by the hash of its id goes into the
     dictionary and the others calibrate. The curve is weighted back to the
     classes' true shares.
     """
+    narrow_batches(docs.sparkSession)
     known = labels.select("doc_id", F.col("quality").cast("double").alias("quality")).where("doc_id is not null and quality is not null")
     known = known.where(crc_mod("doc_id", 5) != 0).dropDuplicates(["doc_id"])
-    order = [F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"]
     shares = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    chosen = [known.where(F.col("quality") == v).orderBy(*order).limit(2 * max_rows) for v in (1.0, 0.0)]
+    chosen = [hashed_share(known.where(F.col("quality") == v), "doc_id", 2 * max_rows) for v in (1.0, 0.0)]
     sample = labelled(docs, F.broadcast(chosen[0].unionAll(chosen[1])), "quality")
     rows = sorted((r["y"], r["doc_id"], as_bytes(r["text"])) for r in sample.toLocalIterator())
     side = {v: [t for y, _, t in rows if y == v] for v in (1.0, 0.0)}

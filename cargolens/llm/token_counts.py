@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.llm.bpe import TOGETHER, opened
-from cargolens.llm.common import batch_column, blocks, commonest, mixed, written
+from cargolens.llm.common import batch_column, blocks, commonest, mixed, narrow_batches, written
 
 #: The most pre-tokens that travel to every task; about 8 MB.
 COMMON = 1 << 18
@@ -89,6 +89,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     different texts stay apart; a null doc_id is kept. An empty table gives an
     empty result; columns but doc_id and text are not looked at.
     """
+    narrow_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     known = written(piece_counts(frequencies(texts.select("text"), path), path), "pieces")
     common = commonest(known, COMMON).select("piece", "pieces").toPandas()

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType
 
-from cargolens.llm.common import MIX_1, SIGNS, Words, as_bytes, blocks, chained, crc_mod, hashed_share, labelled, mixed, separators
+from cargolens.llm.common import MIX_1, SIGNS, Words, as_bytes, blocks, chained, crc_mod, hashed_share, labelled, mixed, narrow_batches, separators
 
 #: Hash slots are 2 ** BITS; 4 MB as 32-bit weights.
 BITS = 20
@@ -81,6 +81,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     Without labelled rows, or with one class only, all weights are nought and
     the intercept is that of the smoothed share of toxic rows.
     """
+    narrow_batches(docs.sparkSession)
     known = labels.select("doc_id", "toxic").where((crc_mod("doc_id", 5) != 0) & F.col("doc_id").isNotNull())
     found = labelled(docs, F.broadcast(hashed_share(known, "doc_id", max_rows)), "toxic")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from cargolens.llm.common import fresh_path, written
+from cargolens.llm.common import fresh_path, narrow_batches, written
 
 #: Bytes of a block's segment, of a chunk in the framing, and records of a file.
 SEGMENT, CHUNK, FILE_RECORDS = 16 * 1024, 4096, 2000
@@ -278,6 +278,7 @@ def archived(pages: DataFrame, path: str | None = None, least: int = 0) -> DataF
     table gives an empty result.
     """
     spark = pages.sparkSession
+    narrow_batches(spark)
     path = path or fresh_path(spark, "warc")
     write(revisits(pages, least), path)
     found = reassembled(read_segments(spark, path))
