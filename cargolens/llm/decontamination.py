@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from cargolens.llm.common import SIGNS, Words, as_bytes, batch_column, blocks, key_filter, separators, written
+from cargolens.llm.common import SIGNS, Words, as_bytes, batch_column, blocks, key_filter, narrow_batches, separators, text_blocks, written
 
 WINDOW, ANCHORS = 13, 3
 #: Words of the test items that are worked on together; their terms and anchors go to all tasks.
@@ -83,7 +83,7 @@ def term_frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     def counted(batches):
         held = np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
-            for _, part in blocks([as_bytes(t) for t in batch_column(batch, "text")]):
+            for _, part in text_blocks(batch):
                 at = _places(Words(part, _TABLE).hashes, shared.value)
                 held += np.bincount(at[at >= 0], minlength=len(held))
         some = np.flatnonzero(held)
@@ -123,8 +123,7 @@ def postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
 
     def listed(batches):
         for batch in batches:
-            start = 0
-            for start, part in blocks([as_bytes(t) for t in batch_column(batch, "text")]):
+            for start, part in text_blocks(batch):
                 block = Words(part, _TABLE)
                 at = _places(block.hashes, shared.value) if len(shared.value) else np.full(len(block.hashes), -1)
                 hit = np.flatnonzero(at >= 0)
@@ -183,8 +182,8 @@ def _verified(places: DataFrame, docs: DataFrame, items: Items, window: int) ->
         own = shared.value
         for batch in batches:
             rows, ids, spans = [], [], []
-            texts, found = [as_bytes(t) for t in batch_column(batch, "text")], batch_column(batch, "places")
-            for start, part in blocks(texts):
+            found = batch_column(batch, "places")
+            for start, part in text_blocks(batch):
                 for i, words in enumerate(Words(part, _TABLE).each(), start):
                     by_item: dict[str, list[tuple[int, int]]] = {}
                     for place in found[i]:
@@ -222,8 +221,35 @@ def phrases(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tupl
     return hits, lengths.where("term = -1").select("doc_id", "mark", F.col("positions")[0].cast("long").alias("n_words"))
 
 
+def smallest_cover(lists: list[np.ndarray], first: int) -> tuple[int, int]:
+    """Of the spans from `first` on that hold a position of every list, the shortest; end before start when there is none."""
+    after = [x[i] if (i := np.searchsorted(x, first)) < len(x) else -1 for x in lists]
+    return (first, int(max(after))) if min(after) >= 0 else (first, first - 1)
+
+
+def _near_spans(shared, within: int):
+    def spans(key, pdf):
+        ids, windows = shared.value
+        lists = {int(t): np.sort(np.concatenate(list(p))) for t, p in pdf.groupby("term")["positions"]}
+        out = set()
+        for i, at, terms in windows:
+            if terms and all(t in lists for t in terms):
+                own = [lists[t] for t in terms]
+                # a shortest span begins at a position of one of the terms
+                for first in np.unique(np.concatenate(own)).tolist():
+                    start, end = smallest_cover(own, first)
+                    if start <= end < start + within:
+                        out.add((key[0], ids[i], at, start, end + 1))
+        # spans that hold a shorter one of the same window say nothing more
+        kept = [x for x in out if not any(y != x and y[1:3] == x[1:3] and x[3] <= y[3] and y[4] <= x[4] for y in out)]
+        return pd.DataFrame(sorted(kept), columns=["doc_id", "item_id", "at", "start", "end"])
+
+    return spans
+
+
 def near(docs: DataFrame, benchmark: DataFrame, within: int = 2 * WINDOW, window: int = WINDOW) -> DataFrame:
-    """Proximity matches (doc_id, item_id, at, start, end): spans of at most `within` words that hold all anchors of the item's window at offset `at`, in any order."""
+    """Proximity matches (doc_id, item_id, at, start, end): shortest spans, of at most `within` words, that hold all anchors of the item's window at offset `at`, in any order."""
+    narrow_batches(docs.sparkSession)
     docs, found = keyed(docs), None
     for items in item_blocks(benchmark):
         chosen = anchors(items, term_frequencies(docs, items), window)
@@ -233,21 +259,7 @@ def near(docs: DataFrame, benchmark: DataFrame, within: int = 2 * WINDOW, window
             for i in sorted(set(chosen["item"]))
             for start in range(max(1, len(items.item(i)) - window + 1))
         ]
-        shared = docs.sparkSession.sparkContext.broadcast((items.ids, of_window))
-
-        def spans(key, pdf: pd.DataFrame, shared=shared) -> pd.DataFrame:
-            ids, windows = shared.value
-            lists = {int(t): np.sort(np.concatenate(list(p))) for t, p in pdf.groupby("term")["positions"]}
-            out = []
-            for i, at, terms in windows:
-                if terms and all(t in lists for t in terms):
-                    for first in lists[min(terms, key=lambda t: len(lists[t]))].tolist():
-                        # for each other term the nearest position on either side of the rarest one
-                        places = [lists[t][np.argmin(np.abs(lists[t] - first))] for t in terms]
-                        if max(places) - min(places) < within:
-                            out.append((key[0], ids[i], at, int(min(places)), int(max(places)) + 1))
-            return pd.DataFrame(sorted(set(out)), columns=["doc_id", "item_id", "at", "start", "end"])
-
+        spans = _near_spans(docs.sparkSession.sparkContext.broadcast((items.ids, of_window)), within)
         kind = docs.schema["doc_id"].dataType.simpleString()
         rows = written(postings(docs, items.terms[used]), "postings").where("term >= 0").groupBy("doc_id", "mark").applyInPandas(spans, f"doc_id {kind}, item_id string, at int, start int, end int")
         found = rows if found is None else found.unionByName(rows)
@@ -258,9 +270,9 @@ def near(docs: DataFrame, benchmark: DataFrame, within: int = 2 * WINDOW, window
 def _covered(spans: pd.Series) -> pd.Series:
     """Words inside at least one of the spans."""
     out = []
-    for lists in spans:
+    for own in spans:
         n, reached = 0, -1
-        for a, b in sorted((s["start"], s["end"]) for part in lists for s in part):
+        for a, b in sorted((s["start"], s["end"]) for s in own):
             n += max(0, b - max(a, reached))
             reached = max(reached, b)
         out.append(n)
@@ -276,9 +288,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     an empty table of documents gives an empty result. Columns but doc_id and
     text are not looked at.
     """
+    narrow_batches(docs.sparkSession)
     rows = keyed(docs)
     hits, lengths = phrases(rows, benchmark)
-    by_doc = hits.groupBy("doc_id", "mark").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    by_doc = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     by_doc = by_doc.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), _covered("spans").alias("hit"), F.size("items").alias("found"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("sha"))
     both = lengths.join(by_doc, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left")
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
