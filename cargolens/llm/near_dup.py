@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import BLANKS, STEP, Words, as_bytes, batch_column, blocks, chained, key_bits, key_filter, marked, mixed, separators, written
+from cargolens.llm.common import BLANKS, STEP, Words, batch_column, chained, key_bits, marked, mixed, narrow_batches, separators, text_blocks, written
 
 COORDINATES = 64
 #: Slots of the table of counts, and members of a list that one task compares among themselves.
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
     def made(batches):
         for batch in batches:
-            for start, part in blocks([as_bytes(t) for t in batch_column(batch, "text")]):
+            for start, part in text_blocks(batch):
                 sets = list(shingle_sets(part, size))
                 full = [i for i, s in enumerate(sets) if len(s)]
                 sig = signature([sets[i] for i in full]) if full else []
@@ -264,15 +264,17 @@ def linked_pairs(sets: list[np.ndarray], others: list[list[int]], percent: int)
 def links(found: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
     """(a, b): fingerprints of linked classes, from the candidates checked on their full sets."""
     wanted = classes.join(found.select("fp").distinct(), "fp", "left_semi").select("id")
-    rows = docs.where(key_filter(wanted, F.xxhash64("id"))(F.xxhash64("doc_id")))
+    shared = docs.sparkSession.sparkContext.broadcast(key_bits(wanted, F.xxhash64("id")))
 
     def full(batches):
+        # the filter runs here and not as a function of its own, which would take a second Python process a task
         for batch in batches:
-            for _, part in blocks([as_bytes(t) for t in batch_column(batch, "text")]):
+            own = marked(shared.value, batch.column(0).to_numpy())
+            for _, part in text_blocks(batch.filter(pa.array(own)).select(["text"])):
                 sets = [s for s in shingle_sets(part, size) if len(s)]
                 yield pa.record_batch({"fp": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), "members": pa.array([s.tobytes() for s in sets], pa.binary())})
 
-    sets = rows.select("text").mapInArrow(full, "fp binary, members binary")
+    sets = docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(full, "fp binary, members binary")
 
     def one(rows: pa.Table) -> pa.RecordBatch | None:
         fps = rows.column("fp").to_pylist()
@@ -323,6 +325,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     the smallest doc_id that its own links reach. An empty table gives an empty
     result; columns but doc_id and text are not looked at.
     """
+    narrow_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     needed = needed_matches(percent)
     posted = COORDINATES - needed + 1
