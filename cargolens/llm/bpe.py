@@ -32,7 +32,7 @@ from cargolens.llm.common import blocks, narrow_batches, text_blocks
 
 NONE = np.int64(1) << 60
 #: Distinct pre-tokens a task remembers, and bytes of text that are looked up together.
-REMEMBERED, TOGETHER = 200_000, 1 << 20
+REMEMBERED, TOGETHER = 100_000, 1 << 20
 #: The split patterns of the two public files.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,9 +149,9 @@ class Tokenizer:
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.known: dict[str, bytes] = {}
         self.shown: dict[str, str] = {}
-        self._start()
+        self.forget()
 
-    def _start(self) -> None:
+    def forget(self) -> None:
         self.known.clear()
         self.shown.clear()
         for text, i in self.special.items():
@@ -178,7 +178,7 @@ class Tokenizer:
         """Encodes those pre-tokens that aren't known yet."""
         new = [t for t in set(tokens) if t not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self._start()
+            self.forget()
             new = [t for t in set(tokens) if t not in self.known]
         for t, ids in zip(new, self.merges.encode([t.encode("utf-8", "surrogatepass") for t in new])):
             self.known[t] = ids.astype("<u4").tobytes()
@@ -251,6 +251,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                         "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat),
                     }
                 )
+        own.forget()  # the process lives on and serves other stages
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(rows, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>")
