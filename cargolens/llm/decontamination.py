@@ -176,7 +176,8 @@ def _verified(places: DataFrame, docs: DataFrame, items: Items, window: int) ->
     shared = spark.sparkContext.broadcast(items)
     by_doc = places.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item", "shift")).alias("places"))
     wanted = docs.where(key_filter(places, F.col("mark"))(F.col("mark")))
-    both = wanted.join(by_doc, wanted["doc_id"].eqNullSafe(by_doc["doc_id"]) & (wanted["mark"] == by_doc["mark"])).select(wanted["doc_id"], wanted["mark"], "text", "places")
+    # joined after a shuffle of what the filter leaves, so that no task runs two Python functions at once
+    both = wanted.join(by_doc.hint("merge"), wanted["doc_id"].eqNullSafe(by_doc["doc_id"]) & (wanted["mark"] == by_doc["mark"])).select(wanted["doc_id"], wanted["mark"], "text", "places")
 
     def compared(batches):
         own = shared.value
