@@ -32,8 +32,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of near copies (three-word shingles, 85 per cent); rows without doc_id stay."""
-    judged = near_dup.near_duplicates(docs, size=3, percent=85)
+    """The row with the smallest doc_id of each group of near copies (five-word shingles, 80 per cent); rows without doc_id stay."""
+    judged = near_dup.near_duplicates(docs, size=5, percent=80)
     kept = written(judged.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
     named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))

@@ -115,3 +115,14 @@ def test_one_row_of_each_copy_stays(spark, folder, odd):
     ids = [r.doc_id for r in kept if r.doc_id is not None]
     assert len(ids) == len(set(ids)) and 105 not in ids and 0 in ids
     assert sum(r.doc_id is None for r in kept) == odd.where(F.col("doc_id").isNull()).count()
+
+
+def test_copies_with_an_edited_block_go(spark, folder):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    short, long = rng.sample(words, 100), rng.sample(words, 1000)
+    added, replaced = short + [f"new{i}" for i in range(20)], long[:300] + [f"other{i}" for i in range(100)] + long[400:]
+    rows = [(i, " ".join(w)) for i, w in enumerate([short, added, long, replaced, rng.sample(words, 100)])]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], SCHEMA)
+    kept = [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()]
+    assert sorted(kept) == [d for d, _, _, k in brute_copies(rows, 5, 80) if k] == [0, 2, 4]
