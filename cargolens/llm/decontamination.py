@@ -281,7 +281,12 @@ def _covered(spans: pd.Series) -> pd.Series:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
+    """marked_contamination() without the mark: (doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row."""
+    return marked_contamination(docs, benchmark).drop("mark")
+
+
+def marked_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_words, n_hit, n_items, items_sha256, contaminated) of every row.
 
     Null and empty texts have no words and no hits; repeated rows get equal
     results; a null doc_id is kept. Items that share an id count as one; items
@@ -298,6 +303,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return both.select(
         "doc_id",
+        "mark",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("found", F.lit(0)).cast("long").alias("n_items"),

@@ -65,7 +65,7 @@ def signature(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, fp, sig) of every row: size of the set, its fingerprint and minimum hashes; both null for an empty set."""
+    """(doc_id, mark, n, fp, sig) of every row: hash of the text, size of the set, its fingerprint and minimum hashes; both null for an empty set."""
 
     def made(batches):
         for batch in batches:
@@ -80,6 +80,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column(0).slice(start, len(part)),
+                        "mark": batch.column(1).slice(start, len(part)),
                         "n": pa.array([len(s) for s in sets], pa.int64()),
                         "fp": pa.array(fps, pa.binary()),
                         "sig": pa.array(sigs, pa.binary()),
@@ -87,7 +88,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(made, f"doc_id {kind}, n long, fp binary, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(made, f"doc_id {kind}, mark long, n long, fp binary, sig binary")
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -316,8 +317,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """marked_duplicates() without mark and linked: (doc_id, n_shingles, component_id, kept) of every row."""
+    return marked_duplicates(docs, size, percent).drop("mark", "linked")
 
+
+def marked_duplicates(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, mark, linked, n_shingles, component_id, kept) of every row.
+
+    mark is xxhash64 of the text. linked is the same for all texts that are
+    linked, and differs where a component_id stands for two texts under one id;
+    it is null without shingles or doc_id.
     Texts are linked when 100 * shared shingles >= percent * all shingles of
     both. Null and empty texts have no shingles and are linked with nothing; so
     are rows without doc_id, which have no component_id and are kept. Repeated
@@ -336,7 +345,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, percent: int = 85) -> DataFr
     joined = components(links(found, docs, classes, size, percent))
     own = classes.select("fp", "id").join(joined.withColumnRenamed("node", "fp"), "fp", "left")
     least = own.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    named = written(own.join(least, "root", "left").select("fp", F.coalesce("least", "id").alias("component")), "components")
-    out = rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
+    named = written(own.join(least, "root", "left").select("fp", F.coalesce("root", "fp").alias("linked"), F.coalesce("least", "id").alias("component")), "components")
+    out = rows.select("doc_id", "mark", "n", F.when(F.col("doc_id").isNotNull(), F.col("fp")).alias("fp")).join(named, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "mark", "linked", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -32,18 +32,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each group of near copies (five-word shingles, 80 per cent); rows without doc_id stay."""
-    judged = near_dup.near_duplicates(docs, size=5, percent=80)
-    kept = written(judged.where("kept and doc_id is not null").select("doc_id").distinct(), "kept")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """A row with the smallest doc_id of each group of near copies (five-word shingles, 80 per cent); rows without doc_id stay.
+
+    Texts under one id are judged each for itself. Of those that are linked with one another one stays.
+    """
+    judged = near_dup.marked_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null")
+    alike = F.coalesce("linked", F.col("mark").cast("string").cast("binary"))
+    kept = judged.groupBy(F.col("doc_id").alias("__doc"), alike.alias("__linked")).agg(F.min("mark").alias("__mark"))
+    kept = written(kept.select("__doc", "__mark"), "kept")
+    named = docs.where("doc_id is not null").withColumn("__own", F.xxhash64("text"))
+    named = named.join(kept, (F.col("doc_id") == F.col("__doc")) & (F.col("__own") == F.col("__mark")), "left_semi")
+    named = named.dropDuplicates(["doc_id", "__own"]).drop("__own")
     return named.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of which less than a twentieth of the words lie in benchmark passages."""
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    bad = written(found.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    found = decontamination.marked_contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = written(found.select(F.col("doc_id").alias("__bad"), F.col("mark").alias("__mark")).distinct(), "contaminated")
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (own == F.col("__mark")), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

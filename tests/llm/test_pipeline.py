@@ -126,3 +126,20 @@ def test_copies_with_an_edited_block_go(spark, folder):
     docs = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in rows], SCHEMA)
     kept = [r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, folder).collect()]
     assert sorted(kept) == [d for d, _, _, k in brute_copies(rows, 5, 80) if k] == [0, 2, 4]
+
+
+def test_texts_under_one_id_are_judged_each_for_itself(spark, folder):
+    rows, _, items = corpus()
+    a, b, c = (rows[i][1] for i in range(3))
+    passage = items[0][1]
+
+    def left(stage, pairs):
+        docs = spark.createDataFrame([(d, t, "en", "src", len(t)) for d, t in pairs], SCHEMA)
+        return ordered((r.doc_id, r.text) for r in stage(spark, docs, folder).collect())
+
+    # b is a copy under 7, c is not; of the two near copies under 9 one stays
+    got = left(corpus_pipeline.keep_one_of_each, [(1, a), (2, b), (7, b), (7, c), (7, c)])
+    assert got == ordered([(1, a), (2, b), (7, c)])
+    assert len(left(corpus_pipeline.keep_one_of_each, [(9, a), (9, a + " onlyhere"), (9, b)])) == 2
+    got = left(corpus_pipeline.drop_contaminated, [(None, passage), (None, a), (5, passage), (5, b), (5, b)])
+    assert got == ordered([(None, a), (5, b), (5, b)])
