@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import backoff, bpe, compression, decontamination, near_dup, perplexity, sharding, token_counts, toxicity, warc
+from cargolens.llm import backoff, bpe, compression, decontamination, jaccard_join, near_dup, perplexity, sharding, token_counts, toxicity, warc
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -55,6 +55,10 @@ def op10_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("fault")
 
 
+def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -96,6 +100,10 @@ from sets s left join classes c on s.s = c.s left join smallest l on l.id = c.id
 """
 
 
+#: The same at 90 per cent; which document is kept is not asked.
+NGRAM_JACCARD = f"select doc_id, n_shingles, component_id from ({NEAR_DUPLICATES.replace('85', '90')})"
+
+
 #: Scores by pairs over the commonest words, the others as the empty word.
 STUPID_BACKOFF = f"""
 with d as (select doc_id, {SIGN_WORDS} as w from documents),
@@ -117,4 +125,9 @@ from d left join (select doc_id, sum(score) as score, count(*) filter (backed) a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": NEAR_DUPLICATES, "op2_benchmark_decontamination": DECONTAMINATION, "op3_stupid_backoff": STUPID_BACKOFF}
+    return {
+        "op1_minhash_near_dedup": NEAR_DUPLICATES,
+        "op2_benchmark_decontamination": DECONTAMINATION,
+        "op3_stupid_backoff": STUPID_BACKOFF,
+        "op11_ngram_jaccard_join": NGRAM_JACCARD,
+    }
