@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import backoff, bpe, compression, decontamination, jaccard_join, near_dup, perplexity, sharding, token_counts, toxicity, warc
+from cargolens.llm import backoff, bpe, compression, decontamination, hard_negatives, jaccard_join, near_dup, perplexity, sharding, token_counts, toxicity, warc
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -59,6 +59,12 @@ def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -124,10 +130,30 @@ from d left join (select doc_id, sum(score) as score, count(*) filter (backed) a
 """
 
 
+#: Every anchor's score with every row.
+HARD_NEGATIVES = """
+with usable as (select distinct vec_id, label, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([1 for x in embedding if x is null or not isfinite(cast(x as double))]) = 0),
+rows as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label, v from usable),
+scores as (select a.vec_id as anchor_id, a.label as anchor_label, b.vec_id as id, b.label as label,
+  cast(coalesce(list_sum([x[1] * x[2] for x in list_zip(a.v, b.v)]), 0) as bigint) as score
+  from rows a, rows b where a.vec_id % 100 = 0),
+positives as (select anchor_id, anchor_label, id as positive_id, score as positive_score from scores where label = anchor_label and id <> anchor_id
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+windows as (select p.anchor_id, positive_id, positive_score, s.id as negative_id, s.score as negative_score,
+  row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.id) as rank
+  from positives p join scores s on s.anchor_id = p.anchor_id and s.label <> p.anchor_label
+  where 80 * positive_score <= 100 * s.score and s.score <= positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from windows where rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": NEAR_DUPLICATES,
         "op2_benchmark_decontamination": DECONTAMINATION,
         "op3_stupid_backoff": STUPID_BACKOFF,
         "op11_ngram_jaccard_join": NGRAM_JACCARD,
+        "op13_hard_negatives": HARD_NEGATIVES,
     }
