@@ -185,31 +185,33 @@ def ranges(rows: DataFrame, nodes, width: int) -> list[Node]:
     return out
 
 
-def meeting(nodes: list[Node], anchor: np.ndarray, low: float, high: float) -> list[int]:
-    """The leaves that may hold rows with an inner product from low to high with the anchor."""
-    out, open_ = [], [0]
+def meeting(nodes: list[Node], anchor: np.ndarray, lows: list[float], highs: list[float]) -> set[int]:
+    """The leaves that may hold rows with an inner product from a low to its high with the anchor."""
+    out, open_ = set(), [(0, np.arange(len(lows)))]
     own = float((anchor**2).sum())
+    lows, highs = np.array(lows, dtype=float)[:, None], np.array(highs, dtype=float)[:, None]
     while open_:
-        node = nodes[open_.pop()]
-        far = distances(anchor[None, :], node.points)[0]
+        at, asking = open_.pop()
+        node, low, high = nodes[at], lows[asking], highs[asking]
+        far = distances(anchor[None, :], node.points)[0][:, None]
+        held = node.least <= node.most
+        least, most = np.where(held, node.least, 0), np.where(held, node.most, 0)
+        # no inner product is beyond the product of the lengths
+        reach, room = np.sqrt(own * most), SLACK * (1 + own + most)
+        outer = np.sqrt(np.maximum(0, own + most - 2 * np.maximum(low, -reach)) + room)
+        inner = np.sqrt(np.maximum(0, own + least - 2 * np.minimum(high, reach) - room))
+        meets = held & (low <= reach + room) & (high >= -reach - room)
+        # [window, point, child]: the ranges of all points must meet the annulus
+        slack = SLACK * (1 + far)
+        nearest = np.maximum(far - outer[:, None, :], inner[:, None, :] - far) - slack
+        meets &= ((node.high >= nearest) & (node.low <= far + outer[:, None, :] + slack)).all(axis=1)
         for j, child in enumerate(node.children):
-            if node.least[j] > node.most[j]:
-                continue
-            # no inner product is beyond the product of the lengths
-            reach = math.sqrt(own * node.most[j])
-            room = SLACK * (1 + own + node.most[j])
-            if low > reach + room or high < -reach - room:
-                continue
-            outer = math.sqrt(max(0.0, own + node.most[j] - 2 * max(low, -reach)) + room)
-            inner = math.sqrt(max(0.0, own + node.least[j] - 2 * min(high, reach) - room))
-            near = np.maximum(far - outer, inner - far) - SLACK * (1 + far)
-            if (node.high[:, j] < near).any() or (node.low[:, j] > far + outer + SLACK * (1 + far)).any():
-                continue
-            if child < 0:
-                out.append(-1 - child)
-            else:
-                open_.append(child)
-    return sorted(out)
+            if (on := asking[meets[:, j]]).size:
+                if child < 0:
+                    out.add(-1 - child)
+                else:
+                    open_.append((child, on))
+    return out
 
 
 def products(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -240,14 +242,15 @@ def asked(asks: DataFrame, nodes, width: int, home: bool) -> DataFrame:
             m, windows, own = _matrix(batch_column(batch, "v"), width), batch_column(batch, "windows"), batch_column(batch, "leaf")
             place, leaves = [], []
             for i in range(len(m)):
-                found = {own[i]} if home else {leaf for w in windows[i] for leaf in meeting(nodes.value, m[i], w["low"], w["high"])} - {own[i]}
+                found = {own[i]} if home else meeting(nodes.value, m[i], [w["low"] for w in windows[i]], [w["high"] for w in windows[i]]) - {own[i]}
                 place += [i] * len(found)
                 leaves += sorted(found)
             if place:
                 rows = batch.take(pa.array(place))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(leaves, pa.int32())], names=[*rows.schema.names, "asked"])
 
-    asks = asks.select("row", "id", "label", "v", "leaf", "windows")
+    # the search of the tree takes time rather than bytes
+    asks = asks.select("row", "id", "label", "v", "leaf", "windows").repartition(int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")
     return asks.mapInArrow(made, f"row long, id long, label long, v array<double>, leaf int, windows {WINDOWS}, asked int")
 
 

@@ -85,7 +85,7 @@ def test_ranges_leave_leaves_out(spark):
     for a in vectors[::300]:
         score = vectors @ a
         for low in (score.max() * 0.95, np.median(score)):
-            found = set(H.meeting(nodes, a, low, low + 0.05 * score.max()))
+            found = set(H.meeting(nodes, a, [low], [low + 0.05 * score.max()]))
             inside = (score >= low) & (score <= low + 0.05 * score.max())
             assert set(leaves[inside].tolist()) <= found
             met.append(len(found) / (leaves.max() + 1))
