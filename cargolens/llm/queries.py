@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargolens.llm import backoff, bpe, compression, decontamination, hard_negatives, jaccard_join, near_dup, perplexity, sharding, token_counts, toxicity, warc
+from cargolens.llm import backoff, bpe, collocations, compression, decontamination, hard_negatives, jaccard_join, near_dup, perplexity, sharding, token_counts, toxicity, warc
 from cargolens.llm.common import table
 
 SHARD_NAMES = [f"shard-{i:03d}" for i in range(sharding.SHARDS)]
@@ -59,6 +59,10 @@ def op11_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside_percent=50, most=2000)
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -130,6 +134,25 @@ from d left join (select doc_id, sum(score) as score, count(*) filter (backed) a
 """
 
 
+#: All runs of one to three words of each language counted as strings.
+COLLOCATIONS = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+runs as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, range(1, 4) s(k) where len(w) >= k)),
+f as materialized (select lang, k as size, phrase, count(*) as n from runs group by all),
+totals as (select lang, sum(n) as n from f where size = 1 group by lang),
+c as materialized (select lang, size, phrase, n as a, string_split(phrase, ' ') as w from f where size > 1 and n >= 10),
+parts as materialized (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as p, array_to_string(w[k + 1:], ' ') as q from (select *, unnest(range(1, size)) as k from c)),
+cuts as (select parts.lang, parts.phrase, a, k, x.n as l, y.n as r, (1000000::hugeint * a * a) // (x.n::hugeint * y.n) as score
+  from parts join f x on x.lang = parts.lang and x.phrase = parts.p join f y on y.lang = parts.lang and y.phrase = parts.q),
+lowest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+longer as (select lang, phrase, max(a) as a from (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from c where size = 3) group by all),
+kept as (select s.* from lowest s left join longer g on g.lang = s.lang and g.phrase = s.phrase where g.a is null or 100 * g.a < 50 * s.a)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(totals.n as bigint) as n, cast(score as bigint) as score
+from kept join totals using (lang) qualify rank <= 2000
+"""
+
+
 #: Every anchor's score with every row.
 HARD_NEGATIVES = """
 with usable as (select distinct vec_id, label, [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v from embeddings
@@ -155,5 +178,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": DECONTAMINATION,
         "op3_stupid_backoff": STUPID_BACKOFF,
         "op11_ngram_jaccard_join": NGRAM_JACCARD,
+        "op12_phrase_collocations": COLLOCATIONS,
         "op13_hard_negatives": HARD_NEGATIVES,
     }
