@@ -9,8 +9,8 @@
    counted (told by a bitmap of fixed size; what it lets through beyond them is
    counted and falls out again).
 3. Frequent fingerprints are checked against the texts: every occurrence has a
-   second, independent hash, which must be the same for all and equal that of the
-   text at the pointer. Only there a phrase is materialised. Fingerprints that
+   second, independent hash of its text, which must be the same for all, the one at the
+   pointer included. Only there a phrase is materialised. Fingerprints that
    stand for several phrases are counted again by phrase.
 4. Cuts, scores, contained phrases and ranks are joins of the frequent phrases.
 """
@@ -104,7 +104,7 @@ def _pointers(pieces: Pieces, marks: np.ndarray, n: int) -> np.ndarray:
 
 
 def gram_counts(texts: DataFrame, size: int, least: int, smaller, bits: int) -> DataFrame:
-    """(fp, n, at): fingerprints of runs of `size` words that occur `least` times or more, with a pointer to an occurrence; written.
+    """(fp, n, at): fingerprints of runs of `size` words that occur `least` times or more, with the least pointer to an occurrence; written.
 
     smaller is a broadcast bitmap of the frequent runs of one word less.
     """
@@ -120,7 +120,7 @@ def gram_counts(texts: DataFrame, size: int, least: int, smaller, bits: int) ->
             n = np.diff(np.append(first, len(fp)))
             fps.clear()
             ats.clear()
-            return pa.record_batch({"fp": pa.array(fp[first].view(np.int64)), "n": pa.array(n.astype(np.int64)), "at": pa.array(at[first])})
+            return pa.record_batch({"fp": pa.array(fp[first].view(np.int64)), "n": pa.array(n.astype(np.int64)), "at": pa.array(np.minimum.reduceat(at, first))})
 
         for batch in batches:
             for pieces, langs, marks, _ in _blocks(batch):
@@ -156,12 +156,28 @@ def word_totals(texts: DataFrame) -> DataFrame:
 
 
 def occurrences(texts: DataFrame, sizes: dict[int, DataFrame], bits: int) -> DataFrame:
-    """(size, fp, n, lang, phrase, low, high, own): each frequent fingerprint with the phrase at its pointer, the least and largest second hash of all its occurrences, and that of the phrase."""
+    """(size, fp, n, lang, phrase, low, high): each frequent fingerprint with the phrase at its pointer, and the least and largest second hash of all its occurrences."""
     spark = texts.sparkSession
     known = spark.sparkContext.broadcast({size: key_bits(rows, F.col("fp")) for size, rows in sizes.items()})
     pointed = spark.sparkContext.broadcast({size: key_bits(rows, F.col("at")) for size, rows in sizes.items()})
 
     def seen(batches):
+        held: dict[int, list[np.ndarray]] = {size: [] for size in known.value}
+        named: dict[tuple[int, int], tuple[str, str]] = {}
+        entries = 0
+
+        def flushed():
+            for size, own in held.items():
+                if own:
+                    fp, low, high, at = reduced(*np.concatenate(own, axis=1))
+                    texts = [named.get((size, a), (None, None)) for a in at.tolist()]
+                    yield pa.record_batch(
+                        [pa.array([size] * len(fp), pa.int32()), *map(pa.array, (fp, at, low, high)), pa.array([x for x, _ in texts], pa.string()), pa.array([x for _, x in texts], pa.string())],
+                        names=["size", "fp", "at", "low", "high", "lang", "phrase"],
+                    )
+                own.clear()
+            named.clear()
+
         for batch in batches:
             for pieces, langs, marks, names in _blocks(batch):
                 for size in known.value:
@@ -171,36 +187,35 @@ def occurrences(texts: DataFrame, sizes: dict[int, DataFrame], bits: int) -> Dat
                     if not len(place):
                         continue
                     check, at = pieces.checks(size)[place].view(np.int64), _pointers(pieces, marks, len(fp))[place]
-                    fp = fp[place].view(np.int64)
-                    order = np.lexsort((check, fp))
-                    first = np.flatnonzero(np.concatenate([[True], fp[order][1:] != fp[order][:-1]]))
-                    low, high = check[order][first], check[order][np.append(first[1:], len(order)) - 1]
-                    n = len(first)
-                    yield pa.record_batch(
-                        [pa.array([size] * n, pa.int32()), pa.array(fp[order][first]), pa.nulls(n, pa.int64()), pa.array(low), pa.array(high), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())],
-                        names=_SEEN,
-                    )
-                    there = np.flatnonzero(marked(pointed.value[size], at))
-                    if len(there):
-                        phrases = [pieces.phrase(i, size) for i in place[there].tolist()]
-                        own = [names[d] for d in pieces.doc[place[there]].tolist()]
-                        yield pa.record_batch(
-                            [pa.array([size] * len(there), pa.int32()), pa.array(fp[there]), pa.array(at[there]), pa.array(check[there]), pa.array(check[there]), pa.array(own, pa.string()), pa.array(phrases, pa.string())],
-                            names=_SEEN,
-                        )
-
-    rows = texts.mapInArrow(seen, "size int, fp long, at long, low long, high long, lang string, phrase string")
+                    own = np.stack(reduced(fp[place].view(np.int64), check, check, at))
+                    held[size].append(own)
+                    entries += own.shape[1]
+                    # a phrase is made only where a pointer may show
+                    chosen = np.isin(at, own[3][marked(pointed.value[size], own[3])])
+                    for i, a in zip(place[chosen].tolist(), at[chosen].tolist()):
+                        named[size, a] = (names[pieces.doc[i]], pieces.phrase(i, size))
+                if entries >= HELD:
+                    yield from flushed()
+                    entries = 0
+        yield from flushed()
+
+    rows = written(texts.mapInArrow(seen, "size int, fp long, at long, low long, high long, lang string, phrase string"), "seen")
     frequent = None
     for size, own in sizes.items():
-        own = own.select(F.lit(size).alias("size"), "fp", "n", F.col("at").alias("pointer"))
+        own = own.select(F.lit(size).alias("size"), "fp", "n", "at")
         frequent = own if frequent is None else frequent.unionByName(own)
-    at_pointer = F.when(F.col("at") == F.col("pointer"), F.struct("phrase", "lang", F.col("low").alias("own")))
-    found = rows.groupBy("size", "fp", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("phrase").alias("phrase"), F.min("lang").alias("lang"))
-    found = found.join(frequent, ["size", "fp"]).groupBy("size", "fp", "n").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max(at_pointer).alias("first"))
-    return written(found.select("size", "fp", "n", "first.lang", "first.phrase", "low", "high", "first.own"), "occurrences")
+    spans = rows.groupBy("size", "fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    first = rows.where("phrase is not null").select("size", "fp", "at", "lang", "phrase").dropDuplicates(["size", "fp", "at"])
+    found = frequent.join(first, ["size", "fp", "at"], "left").join(spans, ["size", "fp"])
+    return written(found.select("size", "fp", "n", "lang", "phrase", "low", "high"), "occurrences")
 
 
-_SEEN = ["size", "fp", "at", "low", "high", "lang", "phrase"]
+def reduced(fp: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each fingerprint once, with its least low, largest high and least pointer."""
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+    return fp[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.minimum.reduceat(at[order], first)
 
 
 def counted_again(texts: DataFrame, doubtful: DataFrame, sizes: list[int], least: int, bits: int) -> DataFrame:
@@ -241,9 +256,9 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: i
         sizes[size] = gram_counts(texts, size, least, smaller, bits)
         smaller = spark.sparkContext.broadcast(key_bits(sizes[size], F.col("fp")))
     found = occurrences(texts, sizes, bits)
-    clean = (F.col("low") == F.col("high")) & (F.col("own") == F.col("low"))
+    clean = (F.col("low") == F.col("high")) & F.col("phrase").isNotNull()
     out = found.where(clean).select("size", "lang", "phrase", "n")
-    doubtful = written(found.where(~F.coalesce(clean, F.lit(False))).select("size", "fp"), "doubtful")
+    doubtful = written(found.where(~clean).select("size", "fp"), "doubtful")
     if not doubtful.isEmpty():
         out = out.unionByName(counted_again(texts, doubtful, list(sizes), least, bits).select("size", "lang", "phrase", "n"))
     return written(out, "phrases")
