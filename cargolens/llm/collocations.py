@@ -8,10 +8,11 @@
    frequent if its first and its last size - 1 words are, so only such ones are
    counted (told by a bitmap of fixed size; what it lets through beyond them is
    counted and falls out again).
-3. Frequent fingerprints are checked against the texts: every occurrence has a
-   second, independent hash of its text, which must be the same for all, the one at the
-   pointer included. Only there a phrase is materialised. Fingerprints that
-   stand for several phrases are counted again by phrase.
+3. Frequent fingerprints are checked against the texts: the shuffle also adds
+   up a second, independent hash of the text of every occurrence, and the sum
+   must be the count times the hash of the phrase at the pointer. Only there a
+   phrase is materialised. Fingerprints that stand for several phrases fail, and
+   are counted again by phrase.
 4. Cuts, scores, contained phrases and ranks are joins of the frequent phrases.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargolens.llm.common import MASK, STEP, Words, _powers, batch_column, chained, key_bits, marked, mixed, narrow_batches, separators, text_blocks, written
+from cargolens.llm.common import FILTER_BUCKETS, MASK, STEP, Words, _powers, batch_column, chained, key_bits, mixed, narrow_batches, separators, text_blocks, written
 
 #: Words are runs of anything but these bytes and those that part pieces.
 INSIDE = [(0x20, 0x20), (0x09, 0x09)]
@@ -32,6 +33,8 @@ INSIDE = [(0x20, 0x20), (0x09, 0x09)]
 PARTING = [(0x2E, 0x2E), (0x2C, 0x2C), (0x3B, 0x3B), (0x3A, 0x3A), (0x21, 0x21), (0x3F, 0x3F), (0x0A, 0x0D)]
 #: n-grams that a task holds before it counts them.
 HELD = 1 << 21
+#: Second hashes are added up modulo this prime.
+PRIME = (1 << 31) - 1
 #: Low bits of a pointer: the word's place in its text. The others come from a hash of the row.
 PLACE_BITS = 24
 _TABLE = separators([*INSIDE, *PARTING])
@@ -64,7 +67,7 @@ class Pieces(Words):
             return mixed(spans + langs[self.doc[:n]] * STEP) >> np.uint64(64 - bits), whole
 
     def checks(self, size: int) -> np.ndarray:
-        """A second hash of all runs of `size` words, from sums over bytes that have nothing in common with the first."""
+        """A second hash below PRIME of all runs of `size` words, from sums over bytes that have nothing in common with the first."""
         data = np.frombuffer(self.data, dtype=np.uint8)
         with np.errstate(over="ignore"):
             values = _SECOND[data]
@@ -76,7 +79,7 @@ class Pieces(Words):
             out = words[:n]
             for k in range(1, size):
                 out = chained(out, words[k : k + n])
-        return out
+        return (out >> np.uint64(33)) % np.uint64(PRIME)
 
     def phrase(self, i: int, size: int) -> str:
         return b" ".join(self.data[a:b] for a, b in zip(self.starts[i : i + size], self.ends[i : i + size])).decode("utf-8", "surrogatepass")
@@ -103,42 +106,73 @@ def _pointers(pieces: Pieces, marks: np.ndarray, n: int) -> np.ndarray:
     return (marks[pieces.doc[:n]] << np.uint64(PLACE_BITS) | places).view(np.int64)
 
 
+def bitmap(rows: DataFrame, key: Column) -> np.ndarray:
+    """key_bits() as one array, for held()."""
+    out = np.zeros((FILTER_BUCKETS + 1) * 4096, dtype=np.uint8)
+    for bucket, bits in key_bits(rows, key).items():
+        out[bucket * 4096 : bucket * 4096 + len(bits)] = bits
+    return out
+
+
+def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys are marked in a bitmap()."""
+    at = keys & (FILTER_BUCKETS * 32768 - 1)
+    # as the built-in functions count: bit 0 lies in bucket 0, from 1 on buckets count up
+    at = np.where(at > 0, at + 32767, 0)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def _keys(at):
+    """Two numbers that spread pointers over a bitmap; for columns and arrays alike."""
+    place = (1 << PLACE_BITS) - 1
+    if isinstance(at, Column):
+        low = at.bitwiseAND(F.lit(place).cast("long"))
+        return F.shiftrightunsigned(at, PLACE_BITS).bitwiseXOR(low), F.shiftrightunsigned(at, PLACE_BITS + 14).bitwiseXOR(F.shiftleft(low, 2))
+    number = at.view(np.uint64)
+    low = at & place
+    return (number >> np.uint64(PLACE_BITS)).view(np.int64) ^ low, (number >> np.uint64(PLACE_BITS + 14)).view(np.int64) ^ (low << 2)
+
+
 def gram_counts(texts: DataFrame, size: int, least: int, smaller, bits: int) -> DataFrame:
-    """(fp, n, at): fingerprints of runs of `size` words that occur `least` times or more, with the least pointer to an occurrence; written.
+    """(fp, n, at, total): fingerprints of runs of `size` words that occur `least` times or more; written.
 
-    smaller is a broadcast bitmap of the frequent runs of one word less.
+    at is the least pointer to an occurrence, total the sum of the second
+    hashes of all, modulo PRIME. smaller is a broadcast bitmap of the frequent
+    runs of one word less.
     """
 
     def counted(batches):
-        fps, ats, held = [], [], 0
+        taken: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        entries = 0
 
         def flushed() -> pa.RecordBatch:
-            fp, at = np.concatenate(fps), np.concatenate(ats)
+            fp, at, check = (np.concatenate(c) for c in zip(*taken))
+            taken.clear()
             order = np.argsort(fp, kind="stable")
-            fp, at = fp[order], at[order]
+            fp = fp[order]
             first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
             n = np.diff(np.append(first, len(fp)))
-            fps.clear()
-            ats.clear()
-            return pa.record_batch({"fp": pa.array(fp[first].view(np.int64)), "n": pa.array(n.astype(np.int64)), "at": pa.array(np.minimum.reduceat(at, first))})
+            total = np.add.reduceat(check[order].astype(np.int64), first) % PRIME
+            least_at = np.minimum.reduceat(at[order], first)
+            return pa.record_batch({"fp": pa.array(fp[first].view(np.int64)), "n": pa.array(n.astype(np.int64)), "at": pa.array(least_at), "total": pa.array(total)})
 
         for batch in batches:
             for pieces, langs, marks, _ in _blocks(batch):
                 fp, whole = pieces.grams(size, langs, bits)
                 if smaller is not None and len(fp):
-                    shorter = marked(smaller.value, pieces.grams(size - 1, langs, bits)[0].view(np.int64))
+                    shorter = held(smaller.value, pieces.grams(size - 1, langs, bits)[0].view(np.int64))
                     whole &= shorter[:-1] & shorter[1:]
-                fps.append(fp[whole])
-                ats.append(_pointers(pieces, marks, len(fp))[whole])
-                held += len(fps[-1])
-                if held >= HELD:
+                taken.append((fp[whole], _pointers(pieces, marks, len(fp))[whole], pieces.checks(size)[whole]))
+                entries += len(taken[-1][0])
+                if entries >= HELD:
                     yield flushed()
-                    held = 0
-        if held:
+                    entries = 0
+        if entries:
             yield flushed()
 
-    rows = texts.mapInArrow(counted, "fp long, n long, at long")
-    return written(rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where(F.col("n") >= least), f"grams-{size}")
+    rows = texts.mapInArrow(counted, "fp long, n long, at long, total long")
+    rows = rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("at").alias("at"), F.pmod(F.sum("total"), F.lit(PRIME)).alias("total"))
+    return written(rows.where(F.col("n") >= least), f"grams-{size}")
 
 
 def word_totals(texts: DataFrame) -> DataFrame:
@@ -146,96 +180,66 @@ def word_totals(texts: DataFrame) -> DataFrame:
 
     def counted(batches):
         for batch in batches:
-            held: dict[str, int] = {}
+            words: dict[str, int] = {}
             for pieces, _, _, langs in _blocks(batch):
                 for lang, n in zip(langs, np.diff(pieces.bounds).tolist()):
-                    held[lang] = held.get(lang, 0) + n
-            yield pa.record_batch({"lang": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
+                    words[lang] = words.get(lang, 0) + n
+            yield pa.record_batch({"lang": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
     return texts.mapInArrow(counted, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def occurrences(texts: DataFrame, sizes: dict[int, DataFrame], bits: int) -> DataFrame:
-    """(size, fp, n, lang, phrase, low, high): each frequent fingerprint with the phrase at its pointer, and the least and largest second hash of all its occurrences."""
+def materialised(texts: DataFrame, sizes: dict[int, DataFrame], bits: int) -> DataFrame:
+    """(size, fp, n, lang, phrase, clean): each frequent fingerprint with the phrase at its pointer, and whether all its occurrences are that phrase; written."""
     spark = texts.sparkSession
-    known = spark.sparkContext.broadcast({size: key_bits(rows, F.col("fp")) for size, rows in sizes.items()})
-    pointed = spark.sparkContext.broadcast({size: key_bits(rows, F.col("at")) for size, rows in sizes.items()})
+    frequent = None
+    for size, own in sizes.items():
+        own = own.select(F.lit(size).alias("size"), "fp", "n", "at", "total")
+        frequent = own if frequent is None else frequent.unionByName(own)
+    pointed = spark.sparkContext.broadcast([bitmap(frequent, key) for key in _keys(F.col("at"))])
 
     def seen(batches):
-        held: dict[int, list[np.ndarray]] = {size: [] for size in known.value}
-        named: dict[tuple[int, int], tuple[str, str]] = {}
-        entries = 0
-
-        def flushed():
-            for size, own in held.items():
-                if own:
-                    fp, low, high, at = reduced(*np.concatenate(own, axis=1))
-                    texts = [named.get((size, a), (None, None)) for a in at.tolist()]
-                    yield pa.record_batch(
-                        [pa.array([size] * len(fp), pa.int32()), *map(pa.array, (fp, at, low, high)), pa.array([x for x, _ in texts], pa.string()), pa.array([x for _, x in texts], pa.string())],
-                        names=["size", "fp", "at", "low", "high", "lang", "phrase"],
-                    )
-                own.clear()
-            named.clear()
-
         for batch in batches:
             for pieces, langs, marks, names in _blocks(batch):
-                for size in known.value:
+                at = _pointers(pieces, marks, len(pieces.doc))
+                there = np.logical_and(*(held(b, key) for b, key in zip(pointed.value, _keys(at))))
+                for size in sizes_of:
                     fp, whole = pieces.grams(size, langs, bits)
-                    place = np.flatnonzero(whole)
-                    place = place[marked(known.value[size], fp[place].view(np.int64))]
+                    place = np.flatnonzero(whole & there[: len(fp)])
                     if not len(place):
                         continue
-                    check, at = pieces.checks(size)[place].view(np.int64), _pointers(pieces, marks, len(fp))[place]
-                    own = np.stack(reduced(fp[place].view(np.int64), check, check, at))
-                    held[size].append(own)
-                    entries += own.shape[1]
-                    # a phrase is made only where a pointer may show
-                    chosen = np.isin(at, own[3][marked(pointed.value[size], own[3])])
-                    for i, a in zip(place[chosen].tolist(), at[chosen].tolist()):
-                        named[size, a] = (names[pieces.doc[i]], pieces.phrase(i, size))
-                if entries >= HELD:
-                    yield from flushed()
-                    entries = 0
-        yield from flushed()
-
-    rows = written(texts.mapInArrow(seen, "size int, fp long, at long, low long, high long, lang string, phrase string"), "seen")
-    frequent = None
-    for size, own in sizes.items():
-        own = own.select(F.lit(size).alias("size"), "fp", "n", "at")
-        frequent = own if frequent is None else frequent.unionByName(own)
-    spans = rows.groupBy("size", "fp").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    first = rows.where("phrase is not null").select("size", "fp", "at", "lang", "phrase").dropDuplicates(["size", "fp", "at"])
-    found = frequent.join(first, ["size", "fp", "at"], "left").join(spans, ["size", "fp"])
-    return written(found.select("size", "fp", "n", "lang", "phrase", "low", "high"), "occurrences")
-
+                    own = [names[d] for d in pieces.doc[place].tolist()]
+                    phrases = [pieces.phrase(i, size) for i in place.tolist()]
+                    columns = [pa.array(np.full(len(place), size, dtype=np.int32)), *map(pa.array, (fp[place].view(np.int64), at[place], pieces.checks(size)[place].astype(np.int64)))]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.string()), pa.array(phrases, pa.string())], names=["size", "fp", "at", "check", "lang", "phrase"])
 
-def reduced(fp: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Each fingerprint once, with its least low, largest high and least pointer."""
-    order = np.argsort(fp, kind="stable")
-    fp = fp[order]
-    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-    return fp[first], np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), np.minimum.reduceat(at[order], first)
+    sizes_of = list(sizes)
+    rows = texts.mapInArrow(seen, "size int, fp long, at long, check long, lang string, phrase string")
+    rows = rows.join(frequent.select("size", "fp", "at"), ["size", "fp", "at"], "left_semi").dropDuplicates(["size", "fp", "at"])
+    # both factors have 31 bits
+    expected = F.pmod(F.pmod("n", F.lit(PRIME)) * F.col("check"), F.lit(PRIME))
+    found = frequent.join(rows, ["size", "fp", "at"], "left")
+    return written(found.select("size", "fp", "n", "lang", "phrase", F.coalesce(expected == F.col("total"), F.lit(False)).alias("clean")), "materialised")
 
 
 def counted_again(texts: DataFrame, doubtful: DataFrame, sizes: list[int], least: int, bits: int) -> DataFrame:
     """(size, n, lang, phrase): the phrases behind the fingerprints (size, fp) that stand for several, each with its own count."""
     spark = texts.sparkSession
-    known = spark.sparkContext.broadcast({size: key_bits(doubtful.where(F.col("size") == size), F.col("fp")) for size in sizes})
+    known = spark.sparkContext.broadcast({size: bitmap(doubtful.where(F.col("size") == size), F.col("fp")) for size in sizes})
 
     def seen(batches):
         for batch in batches:
-            held: dict[tuple[int, int, str, str], int] = {}
+            counts: dict[tuple[int, int, str, str], int] = {}
             for pieces, langs, _, names in _blocks(batch):
                 for size in sizes:
                     fp, whole = pieces.grams(size, langs, bits)
                     place = np.flatnonzero(whole)
-                    place = place[marked(known.value[size], fp[place].view(np.int64))]
+                    place = place[held(known.value[size], fp[place].view(np.int64))]
                     for i in place.tolist():
                         key = (size, int(fp[i].view(np.int64)), names[pieces.doc[i]], pieces.phrase(i, size))
-                        held[key] = held.get(key, 0) + 1
-            if held:
-                columns = zip(*((*key, n) for key, n in held.items()))
+                        counts[key] = counts.get(key, 0) + 1
+            if counts:
+                columns = zip(*((*key, n) for key, n in counts.items()))
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int64()))], names=["size", "fp", "lang", "phrase", "n"])
 
     rows = texts.mapInArrow(seen, "size int, fp long, lang string, phrase string, n long").join(doubtful, ["size", "fp"], "left_semi")
@@ -254,11 +258,10 @@ def frequent_phrases(docs: DataFrame, longest: int = 3, least: int = 10, bits: i
     smaller = None
     for size in range(1, longest + 1):
         sizes[size] = gram_counts(texts, size, least, smaller, bits)
-        smaller = spark.sparkContext.broadcast(key_bits(sizes[size], F.col("fp")))
-    found = occurrences(texts, sizes, bits)
-    clean = (F.col("low") == F.col("high")) & F.col("phrase").isNotNull()
-    out = found.where(clean).select("size", "lang", "phrase", "n")
-    doubtful = written(found.where(~clean).select("size", "fp"), "doubtful")
+        smaller = spark.sparkContext.broadcast(bitmap(sizes[size], F.col("fp")))
+    found = materialised(texts, sizes, bits)
+    out = found.where("clean").select("size", "lang", "phrase", "n")
+    doubtful = written(found.where("not clean").select("size", "fp"), "doubtful")
     if not doubtful.isEmpty():
         out = out.unionByName(counted_again(texts, doubtful, list(sizes), least, bits).select("size", "lang", "phrase", "n"))
     return written(out, "phrases")

@@ -79,9 +79,9 @@ def test_pointers_lead_to_the_phrases(spark):
     # full fingerprints: no phrase has to be counted a second time
     texts = C._texts(spark.createDataFrame(prose(90, 2), SCHEMA).repartition(5))
     sizes = {1: C.gram_counts(texts, 1, 5, None, 64), 2: C.gram_counts(texts, 2, 5, None, 64)}
-    found = C.occurrences(texts, sizes, 64).collect()
+    found = C.materialised(texts, sizes, 64).collect()
     assert len(found) == sum(rows.count() for rows in sizes.values()) > 20
-    assert all(r.low == r.high and r.phrase.count(" ") == r.size - 1 for r in found)
+    assert all(r.clean and r.phrase.count(" ") == r.size - 1 for r in found)
 
 
 def test_first_rows_of_each_language(spark):
