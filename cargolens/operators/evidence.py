@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.text import folded
 from cargolens.functions.values import strip
 from cargolens.operators.chunking import assemble
+from cargolens.operators.containment import extending, graded
 
 # Limits of the answers.
 MAX_EVIDENCE = 20
@@ -16,48 +17,41 @@ EXCERPT_CHARS = 3500
 FALLBACK_EXCERPTS = 3
 
 
-def extends(left: Column, right: Column) -> Column:
-    """One locator is the other plus ', …'."""
-    return left.startswith(F.concat(right, F.lit(","))) | right.startswith(F.concat(left, F.lit(",")))
+CHUNK_KEY = ["job_id", "document_id", "position"]
 
 
-def matches(left: Column, right: Column) -> Column:
-    return (left == right) | extends(left, right)
-
-
-def within(left: Column, right: Column) -> Column:
-    return F.contains(left, right) | F.contains(right, left)
+def _first(rows: DataFrame, per: list[str], order: list[str], most: int) -> DataFrame:
+    """The first rows of each group; Spark cuts to them before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*per).orderBy(*order))
+    return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
 def find_evidence(chunks: DataFrame, requests: DataFrame, limit: int = 5) -> DataFrame:
     """Chunks for each request (request_id, job_id, locator): equal, then extending, then containing locators.
 
-    The join is on the job; per request the best rows are kept, which Spark
-    already does before the shuffle.
+    Distinct locators of a job are matched through their prefixes and grams.
+    Equal requests are answered once; of each locator only the first chunks can
+    be in an answer, and texts are fetched for the answers alone. Chunks are
+    told apart by job, document and position. Requests without a locator have
+    no answer.
     """
-    left = folded(strip(F.coalesce(F.col("locator"), F.lit(""))))
-    right = folded(strip(F.col("_wanted")))
-    rank = F.when(left == right, 0).when(extends(left, right), 1).when(within(left, right), 2)
-    asked = requests.select("request_id", "job_id", F.col("locator").alias("_wanted")).filter(
-        F.coalesce(strip(F.col("_wanted")), F.lit("")) != ""
-    )
-    hits = chunks.join(asked, "job_id").withColumn("rank", rank).filter(F.col("rank").isNotNull())
-    order = Window.partitionBy("request_id").orderBy("rank", "position", "document_id")
     keep = min(max(1, limit), MAX_EVIDENCE)
-    return (
-        hits.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= keep)
-        .drop("_wanted")
-    )
+    asked = requests.select("request_id", "job_id", folded(strip(F.col("locator"))).alias("right"))
+    asked = asked.filter(F.coalesce("right", F.lit("")) != "")
+    named = chunks.select(*CHUNK_KEY, folded(strip(F.coalesce(F.col("locator"), F.lit("")))).alias("left"))
+    pairs = graded(named, asked, ["job_id"])
+    heads = _first(named, ["job_id", "left"], ["position", "document_id"], keep).drop("place")
+    best = pairs.join(heads, ["job_id", "left"]).withColumnRenamed("tier", "rank")
+    best = _first(best, ["job_id", "right"], ["rank", "position", "document_id"], keep).drop("left")
+    return asked.join(best, ["job_id", "right"]).drop("right").join(chunks, CHUNK_KEY)
 
 
 def chunks_for_locators(chunks: DataFrame, locators: DataFrame) -> DataFrame:
-    """Chunks whose locator belongs to one of the job's locators, each once."""
-    wanted = locators.select(F.col("job_id").alias("_job"), F.col("locator").alias("_wanted"))
-    condition = (F.col("job_id") == F.col("_job")) & matches(
-        F.coalesce(F.col("locator"), F.lit("")), F.col("_wanted")
-    )
-    return chunks.join(wanted, condition, "left_semi")
+    """Chunks whose locator equals or extends one of the job's locators, or is extended by one; each once."""
+    named = chunks.withColumn("_left", F.coalesce(F.col("locator"), F.lit("")))
+    found = extending(named.select("job_id", F.col("_left").alias("left")), locators.select("job_id", F.col("locator").alias("right")), ["job_id"])
+    found = found.select("job_id", F.col("left").alias("_left")).distinct()
+    return named.join(found, ["job_id", "_left"], "left_semi").select(*chunks.columns)
 
 
 def text_for_locators(chunks: DataFrame, locators: DataFrame) -> DataFrame:
@@ -78,36 +72,19 @@ def jobs_without_text(chunks: DataFrame, locators: DataFrame) -> DataFrame:
 def excerpts(chunks: DataFrame, locators: DataFrame) -> DataFrame:
     """At most eight cut chunks per job: by locator, equal before extending before containing.
 
-    Jobs without a hit show their first three chunks.
+    Jobs without a hit show their first three chunks. Texts are fetched for the
+    chunks that are shown.
     """
-    wanted = locators.select(F.col("job_id"), F.col("locator").alias("_wanted"))
-    left = F.coalesce(F.col("locator"), F.lit(""))
-    right = F.col("_wanted")
-    tier = (
-        F.when(left == right, 0)
-        .when(extends(left, right), 1)
-        .when(within(folded(left), folded(right)), 2)
-    )
-    keys = ["job_id", "document_id", "position"]
-    hits = (
-        chunks.join(wanted, "job_id")
-        .withColumn("_tier", tier)
-        .filter(F.col("_tier").isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.min(F.struct("_wanted", "_tier")).alias("_at"),
-            F.first("locator").alias("locator"),
-            F.first("text").alias("text"),
-        )
-    )
-    order = Window.partitionBy("job_id").orderBy("_at", "document_id", "position")
-    best = hits.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_EXCERPTS)
-    best = best.select(*keys, "locator", "text", "place")
-    first = Window.partitionBy("job_id").orderBy("document_id", "position")
-    fallback = (
-        chunks.join(hits.select("job_id").distinct(), "job_id", "left_anti")
-        .withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= FALLBACK_EXCERPTS)
-        .select(*keys, "locator", "text", "place")
+    named = chunks.select(*CHUNK_KEY, F.coalesce(F.col("locator"), F.lit("")).alias("left"))
+    pairs = graded(named, locators.select("job_id", F.col("locator").alias("right")), ["job_id"], folded)
+    best = pairs.groupBy("job_id", "left").agg(F.min(F.struct("right", "tier")).alias("_at"))
+    hits = named.distinct().join(best, ["job_id", "left"])
+    shown = _first(hits, ["job_id"], ["_at", "document_id", "position"], MAX_EXCERPTS).select(*CHUNK_KEY, "place")
+    others = named.distinct().join(best.select("job_id").distinct(), "job_id", "left_anti")
+    shown = shown.unionByName(_first(others, ["job_id"], ["document_id", "position"], FALLBACK_EXCERPTS).select(*CHUNK_KEY, "place"))
+    return (
+        chunks.select(*CHUNK_KEY, "locator", "text")
+        .dropDuplicates(CHUNK_KEY)
+        .join(shown, CHUNK_KEY)
+        .withColumn("text", F.left("text", F.lit(EXCERPT_CHARS)))
     )
-    return best.unionByName(fallback).withColumn("text", F.left("text", F.lit(EXCERPT_CHARS)))

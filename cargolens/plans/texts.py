@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cargolens.functions import hashing as H
 from cargolens.functions import text as T
 from cargolens.operators import chunking as CH
+from cargolens.operators import containment as CO
 from cargolens.operators import evidence as E
 from cargolens.operators import knowledge as K
 from cargolens.plans import sql as S
@@ -290,6 +291,27 @@ SELECT doc_id AS job_id, CAST(position AS INT) AS position, locator, CAST(place
 SELECT doc_id, CAST(position AS INT), locator, CAST(place AS INT), sha256(left(text, 3500)) FROM fall WHERE place <= 3"""
 
 
+def p5_graded_locators(spark, sf):
+    """Locators of the documents of each language (one language has most of them) by the locators asked for, with their tiers."""
+    docs = bridge.documents(spark, sf)
+    page = F.concat(F.lit(", page "), (F.col("doc_id") % 40).cast("string"))
+    left = docs.select("lang", F.concat("source", page, F.lit(", part "), (F.length("text") % 3).cast("string")).alias("left"))
+    kind = F.col("doc_id") % 5
+    asked = F.when(kind == 0, F.col("source")).when(kind == 1, F.concat(F.upper("source"), page)).when(kind == 2, F.concat("source", page))
+    asked = asked.when(kind == 3, F.concat("source", page, F.lit(", part 1"))).otherwise(F.substring(page, 3, 7))
+    pairs = CO.graded(left, docs.select("lang", asked.alias("right")), ["lang"], T.folded)
+    return pairs.groupBy("lang", F.col("right").alias("wanted"), "tier").agg(F.count("*").alias("locators"))
+
+
+P5_SQL = """WITH d AS (SELECT lang, source, ', page ' || CAST(doc_id % 40 AS VARCHAR) AS page, doc_id % 5 AS kind, length(text) % 3 AS part FROM documents),
+l AS (SELECT DISTINCT lang, source || page || ', part ' || CAST(part AS VARCHAR) AS l FROM d),
+r AS (SELECT DISTINCT lang, CASE kind WHEN 0 THEN source WHEN 1 THEN upper(source) || page WHEN 2 THEN source || page
+ WHEN 3 THEN source || page || ', part 1' ELSE substr(page, 3, 7) END AS r FROM d),
+m AS (SELECT l.lang, r, CASE WHEN l = r THEN 0 WHEN starts_with(l, r || ',') OR starts_with(r, l || ',') THEN 1
+ WHEN contains(lower(l), lower(r)) OR contains(lower(r), lower(l)) THEN 2 END AS tier FROM l JOIN r ON l.lang = r.lang)
+SELECT lang, r AS wanted, CAST(tier AS INT) AS tier, count(*) AS locators FROM m WHERE tier IS NOT NULL GROUP BY ALL"""
+
+
 # ---- profiles ------------------------------------------------------------
 
 
@@ -651,6 +673,7 @@ QUERIES = {
     "p8_document_paths": (p8_document_paths, P8_SQL),
     "p9_size_rejects": (p9_size_rejects, P9_SQL),
     "p10_content_checks": (p10_content_checks, P10_SQL),
+    "p5_graded_locators": (p5_graded_locators, P5_SQL),
     "e1_find_evidence": (e1_find_evidence, E1_SQL),
     "e2_text_for_locators": (e2_text_for_locators, E2_SQL),
     "e2_jobs_without_text": (e2_jobs_without_text, E2_NONE_SQL),
