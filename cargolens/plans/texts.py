@@ -405,8 +405,36 @@ SELECT doc_id, path, title, CAST(score AS INT) AS score, CAST(total AS INT) AS t
 
 
 def k2_profile_match_joined(spark, sf):
-    """The same match by joined grams, the way for any number of indicators."""
-    return K.match_profiles_joined(bridge.documents(spark, sf), K.profiles(profile_documents(spark, sf)), "doc_id")
+    """The same match; there is one way for any number of indicators."""
+    return K.match_profiles(bridge.documents(spark, sf), K.profiles(profile_documents(spark, sf)), "doc_id")
+
+
+def k2_many_indicators(spark, sf):
+    """Some ten thousand indicators: the 2,500 most used words of each language and pairs of words, in 40 profiles a language."""
+    docs = bridge.documents(spark, sf)
+    words = docs.select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    counts = words.filter(F.col("word").rlike("^[a-z]{3,}$")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
+    top = counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= 2500)
+    phrase = F.when(F.col("place") % 5 == 0, F.concat("word", F.lit("  DE "))).otherwise(F.col("word"))
+    path = F.concat(F.lit("vendors/"), "lang", F.lit("-"), (F.col("place") % 40).cast("string"))
+    table = top.groupBy(path.alias("path")).agg(F.collect_list(phrase).alias("indicators"))
+    table = table.select("path", F.col("path").alias("title"), "indicators", F.lit("1").alias("version"))
+    return K.match_profiles(docs, table, "doc_id")
+
+
+K2_MANY_SQL = f"""WITH words AS (SELECT lang, unnest(string_split(lower(text), ' ')) AS word FROM documents),
+top AS (SELECT *, 'vendors/' || lang || '-' || CAST(place % 40 AS VARCHAR) AS path, word || CASE WHEN place % 5 = 0 THEN ' de' ELSE '' END AS needle
+ FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place
+ FROM words WHERE regexp_full_match(word, '[a-z]{{3,}}') GROUP BY 1, 2) WHERE place <= 2500),
+prof AS (SELECT path, count(*) AS total FROM top GROUP BY 1),
+hay AS (SELECT doc_id, {NORMAL} AS h FROM documents),
+needles AS (SELECT DISTINCT needle FROM top),
+met AS (SELECT doc_id, needle FROM hay JOIN needles ON contains(h, needle)),
+hits AS (SELECT doc_id, path, count(*) AS score FROM met JOIN top USING (needle) GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT doc_id, path, path AS title, CAST(score AS INT) AS score, CAST(total AS INT) AS total_indicators, '1' AS version FROM (
+ SELECT hits.*, total, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, score / total DESC, hits.path) AS place
+ FROM hits JOIN prof ON prof.path = hits.path) WHERE place = 1"""
 
 
 # ---- search --------------------------------------------------------------
@@ -443,6 +471,37 @@ K4_SQL = S.with_(HITS) + """SELECT path, score, CAST(least(length(text), 30000 -
  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM hits) WHERE used < 30000"""
 
 
+def _benchmark_queries(spark, sf):
+    return bridge.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def k3_search_many(spark, sf):
+    """Every benchmark text as a query over all documents, the first eight of each."""
+    hits = K.search_many(bridge.knowledge_documents(spark, sf), _benchmark_queries(spark, sf), limit=8)
+    return hits.select("query_id", "place", "path", "title", "score")
+
+
+MANY = f"""{_KN}, hay AS (SELECT *, replace(lower(path || ' ' || title || ' ' || text), 'ß', 'ss') AS hay, replace(lower(title), 'ß', 'ss') AS head FROM kn),
+terms AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9_\\-]{{3,}}')) AS term FROM benchmark),
+points AS (SELECT path, term, CASE WHEN contains(head, term) THEN 3 ELSE 1 END AS points FROM hay JOIN (SELECT DISTINCT term FROM terms) ON contains(hay, term)),
+scored AS (SELECT item_id, path, sum(points) AS score FROM points JOIN terms USING (term) GROUP BY ALL),
+hits AS (SELECT item_id, kn.path, title, text, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, kn.path) AS place
+ FROM scored JOIN kn USING (path) QUALIFY place <= 8)"""
+K3_MANY_SQL = S.with_(MANY) + "SELECT item_id AS query_id, CAST(place AS INT) AS place, path, title, CAST(score AS INT) AS score FROM hits"
+
+
+def k4_context_many(spark, sf):
+    """The texts of those hits under a budget of 20,000 characters a query."""
+    hits = K.search_many(bridge.knowledge_documents(spark, sf), _benchmark_queries(spark, sf), limit=8)
+    cut = K.context_for_many(hits, max_chars=20_000)
+    return cut.select("query_id", "place", "path", F.length("text").alias("chars"), H.content_hash(F.col("text")).alias("sha256"))
+
+
+K4_MANY_SQL = S.with_(MANY) + """SELECT item_id AS query_id, CAST(place AS INT) AS place, path, CAST(least(length(text), 20000 - used) AS INT) AS chars,
+ sha256(left(text, CAST(20000 - used AS BIGINT))) AS sha256 FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY item_id ORDER BY place
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM hits) WHERE used < 20000 AND length(text) > 0"""
+
+
 def k5_find_by_title(spark, sf):
     """For the title of every document in capitals: the first document of that title."""
     known = bridge.knowledge_documents(spark, sf)
@@ -690,6 +749,9 @@ QUERIES = {
     "k1_profiles": (k1_profiles, K1_SQL),
     "k2_profile_match": (k2_profile_match, K2_SQL),
     "k2_profile_match_joined": (k2_profile_match_joined, K2_SQL),
+    "k2_many_indicators": (k2_many_indicators, K2_MANY_SQL),
+    "k3_search_many": (k3_search_many, K3_MANY_SQL),
+    "k4_context_many": (k4_context_many, K4_MANY_SQL),
     "k3_search": (k3_search, K3_SQL),
     "k4_context": (k4_context, K4_SQL),
     "k5_find_by_title": (k5_find_by_title, K5_SQL),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +64,14 @@ def work_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table of their own in the shared folder: lineage ends here and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def content_mark(spark: SparkSession, path: str) -> str:
     """Changes when a file of the folder, or of a folder in it, is written anew."""
     jvm = spark.sparkContext._jvm
