@@ -19,6 +19,7 @@ from cargolens.functions.values import (
     strip,
 )
 from cargolens.operators.chunking import carried
+from cargolens.session import written
 
 SET, REVERT, REVERT_PACKAGE, REVERT_JOB = "set", "revert", "revert_package", "revert_job"
 
@@ -211,30 +212,79 @@ def checked_proposals(fields: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def proposal_decisions(fields: DataFrame, proposals: DataFrame, changes: DataFrame) -> DataFrame:
-    """Which pending proposals apply: all of their changes must be sound."""
-    tested = checked_edits(fields, changes.withColumn("op", F.lit(SET)))
-    verdict = tested.groupBy("proposal_id").agg(
-        F.bool_and(F.col("error").isNull()).alias("_sound"), F.count("*").alias("changes")
-    )
+    """Which pending proposals apply, decided one after the other in the order of their ids: all changes must be sound.
+
+    A change is read by the kind of the value it replaces, and what earlier
+    changes leave decides that kind: once one has emptied a field, the kind of
+    its source counts again, and stays. So the whole state that matters of a
+    path is the first proposal that emptied it. Verdicts start from the fields
+    as they are and are worked out again from the proposals that apply until
+    they stay; the first proposals of a job are right in the first round, the
+    next ones in the next, and there is no loop over rows.
+    """
+    f = F.col("field")
+    known = fields.select("job_id", "path", _existing_kind(f).alias("_now"), f["source"]["value_kind"].alias("_source"), F.lit(True).alias("_known"))
+    open_ = proposals.filter(F.col("status") == "pending").select("proposal_id")
+    rows = changes.join(open_, "proposal_id", "left_semi").join(known, ["job_id", "path"], "left")
+    lost = F.when(~path_allowed(F.col("path")) | F.col("_known").isNull(), F.lit(True))
+    refused = {name: F.coalesce(lost, coerced(F.col("path"), F.col(kind), F.col("value"))[2].isNotNull()) for name, kind in (("now", "_now"), ("source", "_source"))}
+    empties = blank_to_null(strip(F.col("value"))).isNull()
+    rows = rows.select("job_id", "proposal_id", "change_ord", "path", empties.alias("empties"), *[e.alias(name) for name, e in refused.items()])
+    own = rows.filter("empties").groupBy("job_id", "proposal_id", "path").agg(F.min("change_ord").alias("own"))
+    rows = rows.join(own, ["job_id", "proposal_id", "path"], "left")
+    rows = written(rows.withColumn("now", F.when(F.col("own") < F.col("change_ord"), F.col("source")).otherwise(F.col("now"))), "proposal-changes")
+
+    emptied, seen = rows.filter(F.lit(False)).select("job_id", "path", F.col("proposal_id").alias("first")), None
+    while True:
+        refusal = F.when(F.col("first") < F.col("proposal_id"), F.col("source")).otherwise(F.col("now"))
+        sound = rows.join(emptied, ["job_id", "path"], "left").groupBy("proposal_id").agg((~F.bool_or(refusal)).alias("_sound")).filter("_sound")
+        sound = written(sound, "sound-proposals")
+        state = sound.agg(F.count("*"), F.sum(F.xxhash64("proposal_id").cast("decimal(38,0)"))).first()
+        if state == seen:
+            break
+        seen = state
+        emptied = rows.filter("empties").join(sound, "proposal_id", "left_semi").groupBy("job_id", "path").agg(F.min("proposal_id").alias("first"))
+
     pending = F.col("status") == "pending"
-    return proposals.join(verdict, "proposal_id", "left").select(
+    counts = changes.groupBy("proposal_id").agg(F.count("*").alias("changes"))
+    return proposals.join(counts, "proposal_id", "left").join(sound, "proposal_id", "left").select(
         "proposal_id",
         "job_id",
         F.coalesce("changes", F.lit(0)).alias("changes"),
-        F.when(pending & F.coalesce("_sound", F.lit(False)), "applied").otherwise(F.col("status")).alias("status"),
+        F.when(pending & F.col("_sound").isNotNull(), "applied").otherwise(F.col("status")).alias("status"),
         F.when(~pending, F.concat(F.lit("Proposal is already "), F.col("status"), F.lit(".")))
-        .when(~F.coalesce("_sound", F.lit(False)), "A proposed change can not be applied.")
+        .when(F.col("_sound").isNull(), "A proposed change can not be applied.")
         .alias("problem"),
     )
 
 
 def apply_proposals(fields: DataFrame, decisions: DataFrame, changes: DataFrame, actor: str) -> DataFrame:
-    """Fields with the changes of all proposals decided as applied."""
-    taken = decisions.filter(F.col("status") == "applied").select("proposal_id")
-    edits = changes.join(taken, "proposal_id", "left_semi").select(
-        "job_id", F.col("change_ord").alias("edit_ord"), F.lit(SET).alias("op"), "path", "value", "unit", F.lit(actor).alias("actor"), "reason"
+    """Fields with the changes of all proposals decided as applied, in the order of proposals and of their changes.
+
+    Of a path only the last change shows, on what the ones before left of it:
+    their last unit, and nothing where one of them had emptied the field.
+    """
+    taken = changes.join(decisions.filter(F.col("status") == "applied").select("proposal_id"), "proposal_id", "left_semi")
+    taken = taken.withColumn("_at", F.struct("proposal_id", "change_ord"))
+    last = taken.groupBy("job_id", "path").agg(F.max("_at").alias("_last"))
+    taken = taken.join(last, ["job_id", "path"])
+    empties = blank_to_null(strip(F.col("value"))).isNull()
+    before = (
+        taken.filter(F.col("_at") < F.col("_last"))
+        .groupBy("job_id", "path")
+        .agg(
+            F.bool_or(empties).alias("_emptied"),
+            F.max_by("value", "_at").alias("_value"),
+            F.max(F.when(F.col("unit").isNotNull(), F.struct("_at", "unit")))["unit"].alias("unit"),
+            F.max_by("reason", "_at").alias("reason"),
+        )
+        .withColumn("value", F.when(~F.col("_emptied"), F.col("_value")))
     )
-    return apply_edits(fields, edits)
+
+    def edits(rows: DataFrame) -> DataFrame:
+        return rows.select("job_id", F.lit(1).cast("long").alias("edit_ord"), F.lit(SET).alias("op"), "path", "value", "unit", F.lit(actor).alias("actor"), "reason")
+
+    return apply_edits(apply_edits(fields, edits(before)), edits(taken.filter(F.col("_at") == F.col("_last"))))
 
 
 def rejected(proposals: DataFrame) -> DataFrame:

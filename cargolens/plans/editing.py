@@ -359,6 +359,32 @@ U6_FIELDS_SQL = S.with_(FOLD) + """SELECT fl.job_id, fl.path, CASE WHEN changed
  WHERE NOT (order_status = 'P' AND fl.path LIKE '%.net_weight')"""
 
 
+def _proposals_in_turn(spark, sf):
+    """Three proposals a job: all gross weights; all again, some no number; those of every second package."""
+    rec = bridge.records(spark, sf)
+    path = FL.package_path("gross_weight")
+    value = lambda k, v: F.struct((F.col("job_id") * 3 + k).alias("proposal_id"), F.lit(v).alias("value"))
+    several = F.when(F.col("returnflag") == "R", F.struct((F.col("job_id") * 3 + 1).alias("proposal_id"), F.lit("many").alias("value")))
+    offered = F.array(value(2, "70"), several.otherwise(value(1, "60")), value(0, "50"))
+    offered = F.when(F.col("pkg_ord") % 2 == 0, offered).otherwise(F.slice(offered, 2, 2))
+    changes = rec.select("job_id", F.col("pkg_ord").alias("change_ord"), path.alias("path"), F.inline(offered))
+    changes = changes.withColumns({"unit": F.lit(None).cast("string"), "reason": F.lit("in turn")})
+    proposals = changes.select("proposal_id", "job_id").distinct().withColumn("status", F.lit("pending"))
+    return proposals, changes
+
+
+def u6_proposals_in_turn(spark, sf):
+    """Gross weights after several proposals of a job: the last one that applies wins."""
+    fields = base_fields(spark, sf)
+    proposals, changes = _proposals_in_turn(spark, sf)
+    after = E.apply_proposals(fields, E.proposal_decisions(fields, proposals, changes), changes, "user")
+    return after.filter(F.col("name") == "gross_weight").select("job_id", "path", V.current_value(F.col("field")).alias("value"))
+
+
+U6_TURN_SQL = S.with_(FOLD) + """SELECT ed.job_id, path, CASE WHEN pkg_ord % 2 = 0 THEN '70' WHEN refused THEN '50' ELSE '60' END AS value
+ FROM ed JOIN (SELECT job_id, bool_or(returnflag = 'R') AS refused FROM ed GROUP BY 1) r ON r.job_id = ed.job_id"""
+
+
 def u7_rejected_proposals(spark, sf):
     return E.rejected(_proposals(spark, sf))
 
@@ -437,6 +463,7 @@ QUERIES = {
     "u4_job_status": (u4_job_status, U4_SQL),
     "u5_checked_changes": (u5_checked_changes, U5_SQL),
     "u6_applied_proposals": (u6_applied_proposals, U6_SQL),
+    "u6_proposals_in_turn": (u6_proposals_in_turn, U6_TURN_SQL),
     "u6_fields_after": (u6_fields_after, U6_FIELDS_SQL),
     "u7_rejected_proposals": (u7_rejected_proposals, U7_SQL),
     "u8_package_replacements": (u8_package_replacements, U8_SQL),

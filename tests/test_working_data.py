@@ -68,6 +68,45 @@ def test_edits_fold_in_order(spark):
     assert set(errors) == {4, 7}
 
 
+def test_proposals_apply_one_after_the_other(spark):
+    """Against a turn by turn application: kinds follow what earlier proposals left."""
+    import random
+
+    rng = random.Random(5)
+    paths = ["packages[0].gross_weight", "packages[0].net_weight"]
+    base = fields.package_fields_long(packages(spark, [(j, 1, "A", "10", "KG", "3", "KG") for j in range(40)]), ["gross_weight", "net_weight"])
+    # read as whole numbers, later edited as numbers, or the other way round
+    f = F.col("field")
+    kinds = F.when(F.col("job_id") % 2 == 0, F.array(F.lit("int"), F.lit("float"))).otherwise(F.array(F.lit("float"), F.lit("int")))
+    working = F.struct(f["source"]["value"].alias("value"), kinds[1].alias("value_kind"), f["source"]["unit"].alias("unit"), F.lit("user_edit").alias("origin"), F.lit("x").alias("modified_by"), F.lit(None).cast("string").alias("reason"))
+    base = base.withColumn("field", F.struct(f["source"].withField("value_kind", kinds[0]).alias("source"), working.alias("working"), F.lit(True).alias("modified"), f["required"].alias("required")))
+    changes, proposals = [], []
+    for j in range(40):
+        for k in range(rng.randint(1, 6)):
+            proposals.append((100 * j + k, j, rng.choice(["pending", "pending", "pending", "rejected"])))
+            changes += [(100 * j + k, j, c, rng.choice([*paths, paths[0]]), rng.choice(["12", "1.5", " ", "7", "2.25", "oops"][: 5 + (k == 3)]), rng.choice([None, None, "LB"]), "r") for c in range(rng.randint(0, 3))]
+    state, status = {}, {}
+    for p, j, now in sorted(proposals):
+        before = dict(state)
+        own = sorted(c for c in changes if c[0] == p)
+        sound = bool(own)
+        for _, _, _, path, value, unit, _ in own:
+            source, first = ("int", "float") if j % 2 == 0 else ("float", "int")
+            text, kind, held = state.get((j, path), ("10", first, "KG"))
+            kind = kind if text is not None else source
+            new = value.strip() or None
+            sound &= new is None or new != "oops" and (kind != "int" or "." not in new)
+            state[j, path] = (new, kind, unit or held)
+        status[p] = "applied" if now == "pending" and sound else now
+        if status[p] != "applied":
+            state = before
+    changed = spark.createDataFrame(changes, "proposal_id long, job_id long, change_ord long, path string, value string, unit string, reason string")
+    decided = edits.proposal_decisions(base, spark.createDataFrame(proposals, "proposal_id long, job_id long, status string"), changed)
+    assert {r.proposal_id: r.status for r in decided.collect()} == status
+    after = {(r.job_id, r.path): (r.field.working.value, r.field.working.unit) for r in edits.apply_proposals(base, decided, changed, "user").collect()}
+    assert {k: after[k] for k in state} == {k: (v, unit) for k, (v, _, unit) in state.items()} and len(set(status.values())) == 3
+
+
 def test_acknowledging_again_makes_active(spark):
     rows = [(1, "f", "WARNING", 1, "acknowledge", "a", ""), (1, "f", "WARNING", 2, "revoke", "b", None), (1, "f", "WARNING", 3, "acknowledge", "c", "ok"), (1, "g", "BLOCKING", 1, "acknowledge", "a", "")]
     df = spark.createDataFrame(rows, "job_id long, fingerprint string, severity string, action_ord int, action string, actor string, reason string")
