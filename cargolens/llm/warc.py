@@ -269,17 +269,40 @@ def reassembled(segments: DataFrame) -> DataFrame:
     return found.select("origin", "type", "page_id", "refers_to", "r.*")
 
 
+#: Rows that one value makes at a time where a row is given back as often as it came.
+BACK_AT_ONCE = 100_000
+
+
+@F.pandas_udf(StringType())
+def _digest_of(sha: pd.Series) -> pd.Series:
+    return sha.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode("ascii"))
+
+
+def repeated(pages: DataFrame) -> DataFrame:
+    """(page_id, payload_digest, times) of the pages that come several times with one payload; page_id may be null."""
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    found = pages.select("page_id", sha.alias("sha")).groupBy("page_id", "sha").agg(F.count("*").alias("times")).where("times > 1")
+    return found.select(F.col("page_id").alias("again_id"), _digest_of("sha").alias("again"), "times")
+
+
 def archived(pages: DataFrame, path: str | None = None, least: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, fault) of every page, as read back from the archives written below path.
 
     Without a path the archives go to a fresh folder among the shared ones.
-    Pages that repeat an id and a payload give one row; a page without id is a
-    response without id. Only page_id, url and html are looked at. An empty
-    table gives an empty result.
+    Pages that repeat an id and a payload, whatever their url, are read back as
+    one record and give a row each; a page without id is a response without id.
+    Only page_id, url and html are looked at. An empty table gives an empty
+    result.
     """
     spark = pages.sparkSession
     narrow_batches(spark)
     path = path or fresh_path(spark, "warc")
     write(revisits(pages, least), path)
     found = reassembled(read_segments(spark, path))
-    return found.select("origin", "page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "fault").distinct().drop("origin")
+    found = found.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "fault").distinct()
+    again = written(repeated(pages), "repeated-pages")
+    same = found["page_id"].eqNullSafe(again["again_id"]) & (found["payload_digest"] == again["again"])
+    back = found.join(again, same, "left").withColumn("times", F.coalesce("times", F.lit(1)))
+    back = back.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / BACK_AT_ONCE))))
+    most = F.least(F.lit(BACK_AT_ONCE).cast("long"), F.col("times") - F.col("turn") * BACK_AT_ONCE)
+    return back.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), most))).select(*found.columns)

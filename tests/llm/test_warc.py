@@ -12,7 +12,7 @@ SCHEMA = "page_id long, url string, html string"
 BIG = "é" * 30_000 + "\r\n\r\nWARC/1.1\r\n" * 900
 PAGES = [
     (1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, None, "same"), (7, "u\r\nx", BIG), (8, "u", BIG), (9, "u", "only"),
-    (10, "u", None), (11, "u", ""), (12, None, None), (13, "u", "twice"), (13, "u", "twice"), (None, "u", "same"), (14, "u", "0\r\n\r\n"),
+    (10, "u", None), (11, "u", ""), (12, None, None), (13, "u", "twice"), (13, "v", "twice"), (None, "u", "same"), (None, "v", "same"), (None, "v", "same"), (14, "u", "0\r\n\r\n"),
 ]
 
 
@@ -21,22 +21,31 @@ def brute(pages):
     for page, _, html in pages:
         if page is not None:
             last[html or ""] = max(page, last.get(html or "", page))
-    out = set()
+    out = []
     for page, _, html in pages:
         body = (html or "").encode()
         to = None if page is None or last[html or ""] == page else last[html or ""]
-        out.add((page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if to is None else "revisit", to, None))
+        out.append((page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if to is None else "revisit", to, None))
     return out
 
 
 def test_archives_read_back(spark):
     pages = spark.createDataFrame(PAGES, SCHEMA).withColumns({"origin": F.lit("x"), "payload": F.lit(1), "sha": F.lit(2), "last": F.lit(3)})
+    pages = pages.unionByName(spark.createDataFrame([(13, "v", "other")], SCHEMA), allowMissingColumns=True)
     got = warc.archived(pages)
     assert got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "fault"]
-    assert ordered(got.collect()) == ordered(brute(PAGES))
+    assert ordered(got.collect()) == ordered(brute([*PAGES, (13, "v", "other")]))
+    assert got.count() == len(PAGES) + 1
     assert warc.archived(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_repeats_come_back_in_turns(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BACK_AT_ONCE", 7)
+    pages = spark.range(40).selectExpr("id % 2 as page_id", "'u' as url", "repeat('x', cast(id % 2 as int)) as html").unionByName(spark.createDataFrame(PAGES, SCHEMA))
+    counts = {r["page_id"]: r["count"] for r in warc.archived(pages).groupBy("page_id").count().collect()}
+    assert counts[0] == 20 and counts[1] == 21 and sum(counts.values()) == 40 + len(PAGES)
+
+
 def test_payloads_come_back_whole(spark, tmp_path):
     pages = spark.createDataFrame([p for p in PAGES if p[0] is not None], SCHEMA)
     warc.write(warc.revisits(pages), str(tmp_path / "w"), segment=1000)
