@@ -114,15 +114,11 @@ from sets s left join classes c on s.s = c.s left join smallest l on l.id = c.id
 NGRAM_JACCARD = f"select doc_id, n_shingles, component_id from ({NEAR_DUPLICATES.replace('85', '90')})"
 
 
-#: Scores by pairs over the commonest words, the others as the empty word.
+#: Scores by pairs seen twice or more; every word backs off to its own count.
 STUPID_BACKOFF = f"""
 with d as (select doc_id, {SIGN_WORDS} as w from documents),
 every as (select doc_id, i, w[i] as w from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
-types as (select w, floor(log2(count(*)) * 32) as step from every group by w),
-steps as (select step, sum(count(*)) over (order by step desc) as reached from types group by step),
-vocabulary as (select w from types where step >= (select min(step) from steps where reached <= 262143)),
-ids as (select doc_id, i, coalesce(v.w, '') as w from every e left join vocabulary v on v.w = e.w),
-words as (select doc_id, i, w, lag(w) over (partition by doc_id order by i) as v from ids),
+words as (select doc_id, i, w, lag(w) over (partition by doc_id order by i) as v from every),
 singles as (select w, count(*) as n from words group by w),
 pairs as (select v, w, count(*) as n from words where v is not null group by v, w having count(*) >= 2),
 total as (select count(*) as n from words),
