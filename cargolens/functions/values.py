@@ -282,9 +282,9 @@ def coerced(path: Column, existing_kind: Column, value: Column) -> tuple[Column,
     )
     error = (
         F.when(text.isNull() | ~numeric | out.isNotNull(), F.lit(None))
-        .when(existing_kind == "bool", "Enter a true/false value.")
-        .when(existing_kind == "int", "Enter a whole number.")
-        .otherwise("Enter a numeric value.")
+        .when(existing_kind == "bool", "not yes or no")
+        .when(existing_kind == "int", "not a whole number")
+        .otherwise("not a number")
     )
     return out, kind, error
 

@@ -40,8 +40,8 @@ def checked_edits(fields: DataFrame, edits: DataFrame) -> DataFrame:
     rows = edits.filter(F.col("op").isin(SET, REVERT)).join(known, ["job_id", "path"], "left")
     value, kind, problem = coerced(F.col("path"), F.col("_kind"), F.col("value"))
     error = (
-        F.when(~path_allowed(F.col("path")), "Invalid field path.")
-        .when(F.col("_known").isNull(), "The requested path does not point to an editable value.")
+        F.when(~path_allowed(F.col("path")), "path not allowed")
+        .when(F.col("_known").isNull(), "no field at this path")
         .when(F.col("op") == SET, problem)
     )
     return rows.withColumns({"new_value": value, "new_kind": kind, "error": error}).drop("_kind", "_known")

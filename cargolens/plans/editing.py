@@ -145,10 +145,10 @@ def u1_edit_errors(spark, sf):
     return bad.select("job_id", "edit_ord", "path", "error")
 
 
-U1_ERRORS_SQL = S.with_(FOLD) + """SELECT job_id, pkg_ord * 10 + 1 AS edit_ord, path, 'Enter a numeric value.' AS error
+U1_ERRORS_SQL = S.with_(FOLD) + """SELECT job_id, pkg_ord * 10 + 1 AS edit_ord, path, 'not a number' AS error
  FROM ed WHERE returnflag = 'R'
-UNION ALL SELECT job_id, pkg_ord * 10 + 5, path, 'Enter a numeric value.' FROM ed WHERE returnflag = 'N' AND NOT s5
-UNION ALL SELECT job_id, pkg_ord * 10 + 6, path || '_x', 'The requested path does not point to an editable value.'
+UNION ALL SELECT job_id, pkg_ord * 10 + 5, path, 'not a number' FROM ed WHERE returnflag = 'N' AND NOT s5
+UNION ALL SELECT job_id, pkg_ord * 10 + 6, path || '_x', 'no field at this path'
  FROM ed WHERE returnflag = 'A'"""
 
 

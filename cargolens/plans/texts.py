@@ -97,8 +97,7 @@ segs AS (SELECT w.doc_id, seg, string_agg(s, chr(10) || chr(10) ORDER BY w.posit
 many AS (SELECT doc_id, max(seg) AS k FROM segs GROUP BY 1 HAVING max(seg) > 24)
 SELECT doc_id, CAST(seg AS INT) AS segment_no, CAST(length(t) AS INT) AS chars, sha256(t) AS sha256, CAST(NULL AS VARCHAR) AS reason
  FROM segs WHERE doc_id NOT IN (SELECT doc_id FROM many)
-UNION ALL SELECT doc_id, NULL, NULL, NULL, 'Document requires ' || CAST(k AS VARCHAR)
- || ' mapping segments, exceeding the safety limit of 24.' FROM many"""
+UNION ALL SELECT doc_id, NULL, NULL, NULL, 'more than 24 segments' FROM many"""
 
 
 def c5_sliding_segments(spark, sf):
@@ -118,8 +117,7 @@ def c6_segment_rejects(spark, sf):
     return rejects
 
 
-C6_SQL = f"""SELECT doc_id, segments, 'Document requires ' || CAST(segments AS VARCHAR)
- || ' mapping segments, exceeding the safety limit of 24.' AS reason FROM (
+C6_SQL = f"""SELECT doc_id, segments, 'more than 24 segments' AS reason FROM (
  SELECT doc_id, CAST((length(t) - 1) // 550 + 1 AS INT) AS segments FROM (SELECT doc_id, trim(text, {SPACE}) AS t FROM documents)
  WHERE length(t) > 600) WHERE segments > 24"""
 
@@ -599,7 +597,7 @@ def p10_content_checks(spark, sf):
     return doc.select("doc_id", K.content_problem(text).alias("problem"))
 
 
-P10_SQL = """SELECT doc_id, CASE lang WHEN 'en' THEN NULL WHEN 'de' THEN 'Knowledge content cannot be blank.'
+P10_SQL = """SELECT doc_id, CASE lang WHEN 'en' THEN NULL WHEN 'de' THEN 'blank text'
  ELSE 'no heading of the first level' END AS problem FROM documents"""
 
 
