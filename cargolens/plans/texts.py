@@ -13,6 +13,7 @@ from cargolens.operators import chunking as CH
 from cargolens.operators import containment as CO
 from cargolens.operators import evidence as E
 from cargolens.operators import knowledge as K
+from cargolens.operators import segments as SG
 from cargolens.plans import sql as S
 from cargolens.session import staged, work_dir
 from cargolens.sources import bridge, files
@@ -48,33 +49,38 @@ C1_SQL = S.with_(_chunks_sql(7000)) + """SELECT doc_id, CAST(position AS INT) AS
 
 
 def c2_assembled_text(spark, sf):
-    """Documents put together again from their chunks, with the locators."""
-    texts = CH.assemble(CH.chunk_documents(_docs(spark, sf), ["doc_id"]), "doc_id", ["position"])
-    return texts.select("doc_id", F.length("text").alias("chars"), H.content_hash(F.col("text")).alias("sha256"))
+    """Documents put together again from their chunks, with the locators; a document over a limit gives a row that says so."""
+    texts, rejects = CH.assemble_checked(CH.chunk_documents(_docs(spark, sf), ["doc_id"]), "doc_id", ["position"])
+    rows = texts.select(
+        "doc_id", F.length("text").alias("chars"), H.content_hash(F.col("text")).alias("sha256"), F.lit(None).cast("string").alias("reason")
+    )
+    return rows.unionByName(rejects.select("doc_id", "reason"), allowMissingColumns=True)
 
 
-C2_SQL = S.with_(_chunks_sql(7000)) + """SELECT doc_id, CAST(length(t) AS INT) AS chars, sha256(t) AS sha256 FROM (
- SELECT doc_id, string_agg('[' || locator || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS t
+C2_SQL = S.with_(_chunks_sql(7000)) + """SELECT doc_id, CASE WHEN chars <= 2000000 THEN CAST(length(t) AS INT) END AS chars,
+ CASE WHEN chars <= 2000000 THEN sha256(t) END AS sha256, CASE WHEN chars > 2000000 THEN 'too many characters' END AS reason FROM (
+ SELECT doc_id, sum(length(text)) AS chars, string_agg('[' || locator || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS t
  FROM chunks GROUP BY 1)"""
 
 
-def _assembled(spark, sf, chars):
-    return CH.assemble(CH.chunk_documents(_docs(spark, sf), ["doc_id"], chars), "doc_id", ["position"])
+def _short_chunks(spark, sf):
+    return CH.chunk_documents(_docs(spark, sf), ["doc_id"], 900)
 
 
 def c3_sections(spark, sf):
-    """Sections per document: the assembled text cut before every locator line."""
-    parts = F.transform(CH.sections(F.col("text")), lambda s: F.split_part(s, F.lit("\n"), F.lit(1)))
-    return _assembled(spark, sf, 900).select("doc_id", F.posexplode(parts).alias("section_no", "locator_line"))
+    """Sections per document, from its chunks: what is cut before every locator line."""
+    found = SG.section_rows(_short_chunks(spark, sf), "doc_id")
+    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    return found.select("doc_id", (F.col("section_no") - 1).cast("int").alias("section_no"), line.alias("locator_line"), H.content_hash(F.col("text")).alias("sha256"))
 
 
 C3_SQL = S.with_(_chunks_sql(900)) + """SELECT doc_id, CAST(position - 1 AS INT) AS section_no,
- '[' || locator || ']' AS locator_line FROM chunks"""
+ '[' || locator || ']' AS locator_line, sha256('[' || locator || ']' || chr(10) || text) AS sha256 FROM chunks"""
 
 
 def c4_segments(spark, sf):
     """Mapping segments, with short chunks and a short target so that documents need several; too many give one row that says so."""
-    out, rejects = CH.segments(_assembled(spark, sf, 900), "doc_id", target=3000)
+    out, rejects = SG.chunk_segments(_short_chunks(spark, sf), "doc_id", target=3000)
     rows = out.select(
         "doc_id",
         "segment_no",

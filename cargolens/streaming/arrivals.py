@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cargolens.operators.chunking import assemble
+from cargolens.operators.chunking import assemble_checked
 from cargolens.operators.knowledge import match_profiles
 from cargolens.sources.files import chunk_files, file_columns, upload_status
 
@@ -41,7 +41,7 @@ def ingest(
         status = upload_status(batch.drop("content"), written, rejects)
         status.write.mode("overwrite").parquet(f"{out}/status/batch_id={number}")
         if profiles is not None:
-            texts = assemble(written, "path", ["position"]).withColumnRenamed("path", "file_path")
+            texts = assemble_checked(written, "path", ["position"])[0].withColumnRenamed("path", "file_path")
             matched = match_profiles(texts, profiles, "file_path")
             matched.write.mode("overwrite").parquet(f"{out}/profiles/batch_id={number}")
 
