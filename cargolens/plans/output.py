@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from cargolens.plans import sql as S
 from cargolens.plans.validation import RULE_SQL, issue_rows
 from cargolens.session import staged, work_dir
 from cargolens.sources import bridge
-from cargolens.sources import sinks
+from cargolens.sources import publish
 
 PCTX = """pctx AS (SELECT c_custkey AS project_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'EUR' ELSE 'USD' END AS currency,
  CASE WHEN c_acctbal >= 0 THEN 'Supplier of ' || c_name END AS supplier_name, c_name AS project_name,
@@ -458,9 +458,35 @@ J14_SQL = S.with_(ROWS, LINKS) + """SELECT r.project_id, r.job_id, pkg_ord, c.pr
 
 
 def s10_output_readback(spark, sf):
-    """Write the output rows, read them again, compare every cell; one summary row."""
-    rows = _indexed(spark, sf)
-    return sinks.write_checked(rows, f"{work_dir(spark)}/output-{hashlib.sha256(sf.encode()).hexdigest()[:12]}")
+    """Publish the output of every project: blocked ones are refused, the others are written, read again and compared cell by cell."""
+    gates = x12_release_gates(spark, sf).select("project_id", "blocking")
+    outcome = publish.publish(_indexed(spark, sf), n7_header_cells(spark, sf), gates, f"{work_dir(spark)}/output-{uuid.uuid4().hex}")
+    return outcome.drop("released_run")
+
+
+def _s10_cells(columns: str, numeric: bool) -> str:
+    """Cells of the output rows and what a fingerprint shows of them."""
+    shown = 'CAST(CAST(round("{c}" * 1000000) AS DECIMAL(38,0)) AS VARCHAR)' if numeric else 'nullif(CAST("{c}" AS VARCHAR), \'\')'
+    return "\n UNION ALL ".join(
+        f"""SELECT project_id, '{c}' || CAST(excel_row AS VARCHAR) AS ref, {'NULL' if c in 'PQW' else shown.format(c=c)} AS shown FROM placed"""
+        for c in columns
+    )
+
+
+S10_SQL = S.with_(PROJECT_MESSAGES) + f""", head AS ({N7_HEADER_SQL.rsplit("FROM orders)", 1)[1]}),
+gate AS ({X12_SQL.split(S.with_(PROJECT_MESSAGES), 1)[1]}),
+placed AS (SELECT o.*, row_number() OVER (PARTITION BY o.project_id ORDER BY l.ordinal, o.pkg_ord) + 22 AS excel_row
+ FROM outrows o JOIN links l ON l.job_id = o.job_id JOIN gate g ON g.project_id = o.project_id AND g.blocking = 0),
+cells AS ({_s10_cells("CFJKLNO", True)}
+ UNION ALL {_s10_cells("DEGHIPQRSTUVWX", False)}
+ UNION ALL SELECT head.project_id, ref, nullif(value, '') FROM head JOIN gate g ON g.project_id = head.project_id AND g.blocking = 0),
+told AS (SELECT project_id, count(*) AS cells_written, count(shown) AS filled_cells, CAST(sum(CASE WHEN shown IS NOT NULL THEN
+ CAST('0x' || substr(md5(CAST(project_id AS VARCHAR) || '|' || ref || '|' || shown), 1, 8) AS BIGINT) END) AS DECIMAL(38,0)) AS fingerprint
+ FROM cells GROUP BY 1)
+SELECT g.project_id, CASE WHEN g.blocking > 0 THEN 'refused' WHEN g.rows > 0 THEN 'completed' ELSE 'discarded' END AS status, g.blocking,
+ CASE WHEN g.blocking > 0 THEN 0 ELSE g.rows END AS rows_written, coalesce(t.cells_written, 0) AS cells_written,
+ coalesce(t.filled_cells, 0) AS filled_cells, CAST(0 AS BIGINT) AS refused_cells, CAST(0 AS BIGINT) AS mismatches,
+ CAST(NULL AS VARCHAR[]) AS first_mismatches, t.fingerprint FROM gate g LEFT JOIN told t ON t.project_id = g.project_id"""
 
 
 # ---- changes of context --------------------------------------------------
@@ -648,7 +674,7 @@ QUERIES = {
     "n7_row_cells": (n7_row_cells, N7_SQL),
     "n7_header_cells": (n7_header_cells, N7_HEADER_SQL),
     "p3_allowed_values": (p3_allowed_values, P3_SQL),
-    "s10_output_readback": (s10_output_readback, None),
+    "s10_output_readback": (s10_output_readback, S10_SQL),
     "w4_repeated_cases": (w4_repeated_cases, W4_SQL),
     "w5_project_row_index": (w5_project_row_index, W5_SQL),
 }
