@@ -473,10 +473,9 @@ def _s10_cells(columns: str, numeric: bool) -> str:
     )
 
 
-S10_SQL = S.with_(PROJECT_MESSAGES) + f""", head AS ({N7_HEADER_SQL.rsplit("FROM orders)", 1)[1]}),
-gate AS ({X12_SQL.split(S.with_(PROJECT_MESSAGES), 1)[1]}),
-placed AS (SELECT o.*, row_number() OVER (PARTITION BY o.project_id ORDER BY l.ordinal, o.pkg_ord) + 22 AS excel_row
- FROM outrows o JOIN links l ON l.job_id = o.job_id JOIN gate g ON g.project_id = o.project_id AND g.blocking = 0),
+def _s10_sql(views: str, gate: str, head: str, placed: str) -> str:
+    """Outcomes of publishing: gate (project_id, rows, blocking), head (project_id, ref, value), placed (output rows of the free ones)."""
+    return f"""{views}, gate AS ({gate}), head AS ({head}), placed AS ({placed}),
 cells AS ({_s10_cells("CFJKLNO", True)}
  UNION ALL {_s10_cells("DEGHIPQRSTUVWX", False)}
  UNION ALL SELECT head.project_id, ref, nullif(value, '') FROM head JOIN gate g ON g.project_id = head.project_id AND g.blocking = 0),
@@ -489,6 +488,41 @@ SELECT g.project_id, CASE WHEN g.blocking > 0 THEN 'refused' WHEN g.rows > 0 THE
  CAST(NULL AS VARCHAR[]) AS first_mismatches, t.fingerprint FROM gate g LEFT JOIN told t ON t.project_id = g.project_id"""
 
 
+S10_SQL = _s10_sql(
+    S.with_(PROJECT_MESSAGES),
+    X12_SQL.split(S.with_(PROJECT_MESSAGES), 1)[1],
+    N7_HEADER_SQL.split(S.with_(S.JOBS, PCTX, LINKS), 1)[1],
+    """SELECT o.*, row_number() OVER (PARTITION BY o.project_id ORDER BY l.ordinal, o.pkg_ord) + 22 AS excel_row
+ FROM outrows o JOIN links l ON l.job_id = o.job_id JOIN gate g ON g.project_id = o.project_id AND g.blocking = 0""",
+)
+
+
+def s10_job_outputs(spark, sf):
+    """Publish the output of every single job, which its own blocking messages refuse."""
+    jobs = bridge.jobs(spark, sf)
+    contexts = jobs.select("job_id", "project_id").join(bridge.project_contexts(spark, sf), "project_id").drop("project_id")
+    headers = C.header_cell_rows(C.header_cells(contexts, jobs.drop("project_id"), "job_id").withColumnRenamed("job_id", "project_id"))
+    rows = C.job_excel_rows(project_rows(spark, sf)).withColumn("project_id", F.col("job_id"))
+    counts = job_messages(spark, sf).filter(F.col("level") == "blocking").groupBy("job_id").agg(F.count("*").alias("blocking"))
+    gates = jobs.select("job_id").join(counts, "job_id", "left").select(F.col("job_id").alias("project_id"), F.coalesce("blocking", F.lit(0)).alias("blocking"))
+    outcome = publish.publish(rows, headers, gates, f"{work_dir(spark)}/job-output-{uuid.uuid4().hex}")
+    return outcome.drop("released_run").withColumnRenamed("project_id", "job_id")
+
+
+S10_JOBS_SQL = "SELECT project_id AS job_id, * EXCLUDE (project_id) FROM (" + _s10_sql(
+    S.with_(MESSAGES),
+    """SELECT j.job_id AS project_id, coalesce(r.rows, 0) AS rows, coalesce(m.b, 0) AS blocking FROM jobs j
+ LEFT JOIN (SELECT job_id, count(*) AS rows FROM outrows GROUP BY 1) r ON r.job_id = j.job_id
+ LEFT JOIN (SELECT job_id, count(*) AS b FROM msg WHERE level = 'blocking' GROUP BY 1) m ON m.job_id = j.job_id""",
+    N7_HEADER_SQL.split(S.with_(S.JOBS, PCTX, LINKS), 1)[1]
+    .replace("c.project_id, '", "jobs.job_id, '")
+    .replace("FROM pctx c LEFT JOIN links ON links.project_id = c.project_id AND ordinal = 0 LEFT JOIN jobs ON jobs.job_id = links.job_id", "FROM jobs JOIN pctx c ON c.project_id = jobs.project_id")
+    .replace("SELECT jobs.job_id,", "SELECT jobs.job_id AS project_id,"),
+    """SELECT o.* EXCLUDE (project_id), o.job_id AS project_id, o.pkg_ord + 22 AS excel_row
+ FROM outrows o JOIN gate g ON g.project_id = o.job_id AND g.blocking = 0""",
+) + ")"
+
+
 # ---- changes of context --------------------------------------------------
 
 
@@ -675,6 +709,7 @@ QUERIES = {
     "n7_header_cells": (n7_header_cells, N7_HEADER_SQL),
     "p3_allowed_values": (p3_allowed_values, P3_SQL),
     "s10_output_readback": (s10_output_readback, S10_SQL),
+    "s10_job_outputs": (s10_job_outputs, S10_JOBS_SQL),
     "w4_repeated_cases": (w4_repeated_cases, W4_SQL),
     "w5_project_row_index": (w5_project_row_index, W5_SQL),
 }
