@@ -1,4 +1,4 @@
-"""Sinks: checked output dataset, score report, audit append."""
+"""Sinks: cell comparison, score report, audit append; output datasets are released by ``publish``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolens.functions.values import number
-from cargolens.operators.context import row_cells
 
 
 def refused_cells(cells: DataFrame) -> DataFrame:
@@ -32,40 +31,6 @@ def cell_differences(written: DataFrame, read: DataFrame) -> DataFrame:
     )
 
 
-def write_checked(rows: DataFrame, path: str) -> DataFrame:
-    """Write output rows to a staging path, read them back, compare every cell.
-
-    One summary row: rows, cells, refused cells, mismatches, whether the
-    dataset may be released, and a fingerprint of the cells that does not
-    depend on their order. Nothing is released when a check fails.
-    """
-    spark = rows.sparkSession
-    columns = ["project_id", "job_id", "excel_row", *[c for c in rows.columns if len(c) == 1]]
-    rows.select(*columns).write.mode("overwrite").parquet(path)
-    cells = row_cells(rows)
-    back = row_cells(spark.read.parquet(path))
-    wrong = cell_differences(cells, back).agg(F.count("*").alias("mismatches"))
-    refused = refused_cells(cells).agg(F.count("*").alias("refused_cells"))
-    digest = F.sum(F.xxhash64("project_id", "ref", F.coalesce("value", F.lit(""))).cast("decimal(38,0)"))
-    size = back.agg(
-        F.count("*").alias("cells_written"),
-        F.sha2(F.coalesce(digest, F.lit(0)).cast("string").cast("binary"), 256).alias("fingerprint"),
-    )
-    count = spark.read.parquet(path).agg(F.count("*").alias("rows_written"))
-    # four one-row tables side by side
-    one = F.lit(1).alias("_one")
-    out = count.select("*", one)
-    for part in (size, refused, wrong):
-        out = out.join(part.select("*", one), "_one")
-    released = (F.col("mismatches") == 0) & (F.col("refused_cells") == 0) & (F.col("rows_written") > 0)
-    return out.drop("_one").withColumn("status", F.when(released, "completed").otherwise("failed"))
-
-
-def first_differences(differences: DataFrame, limit: int = 10) -> DataFrame:
-    """The first mismatches of a failed read-back, for the report."""
-    return differences.orderBy("project_id", "ref").limit(limit)
-
-
 def write_score_report(aggregate: DataFrame, cases: DataFrame, path: str) -> None:
     """Score report as JSON: one folder for the aggregate, one for the documents."""
     aggregate.write.mode("overwrite").json(f"{path}/aggregate")
