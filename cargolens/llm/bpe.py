@@ -148,15 +148,13 @@ class Tokenizer:
         self.find = regex.compile(WORD_PATTERN if self.words else BYTE_PATTERN).findall
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.known: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
         self.forget()
 
     def forget(self) -> None:
         self.known.clear()
-        self.shown.clear()
         for text, i in self.special.items():
             # a special token is kept under a key that no pre-token can equal
-            self.known["\0" + text], self.shown["\0" + text] = np.uint32(i).tobytes(), text
+            self.known["\0" + text] = np.uint32(i).tobytes()
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens in order; special tokens as themselves behind a NUL."""
@@ -182,7 +180,6 @@ class Tokenizer:
             new = [t for t in set(tokens) if t not in self.known]
         for t, ids in zip(new, self.merges.encode([t.encode("utf-8", "surrogatepass") for t in new])):
             self.known[t] = ids.astype("<u4").tobytes()
-            self.shown[t] = " ".join([self.names[i] for i in ids.tolist()])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts."""
@@ -218,10 +215,10 @@ def digests(path: str):
         for start, part in blocks([t.encode("utf-8", "surrogatepass") for t in whole], TOGETHER):
             split = [own.split(t) for t in whole[start : start + len(part)]]
             own.learn(set().union(*split))
-            known, shown = own.known, own.shown
+            known = own.known
             for s in split:
                 ids = b"".join([known[t] for t in s])
-                text = " ".join([shown[t] for t in s])
+                text = own.decode(np.frombuffer(ids, dtype="<u4").tolist())
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
         return pd.DataFrame(rows, columns=DIGEST.names, index=texts.index)
 
@@ -239,7 +236,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
                 split = [own.split(t.decode("utf-8", "surrogatepass")) for t in part]
                 own.learn(set().union(*split))
                 ids = [b"".join([own.known[t] for t in s]) for s in split]
-                shown = [" ".join([own.shown[t] for t in s]) for s in split]
+                shown = (own.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in ids)
                 sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
                 yield pa.record_batch(
