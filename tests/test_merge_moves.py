@@ -8,6 +8,7 @@ from cargolens.functions.values import lift
 from cargolens.operators import merge
 
 ROWS = "job_id long, segment_no int, pkg_ord long, c string, v string, s string, dim_unit string"
+ITEM = ["item_number", "description"]
 
 
 def frame(spark, seed):
@@ -52,3 +53,16 @@ def test_continuations_merge_the_same_with_fields_made_after_the_move(spark):
     narrow = merge.merge_continuations(df, fields)
     same_rows(narrow, merge.merge_continuations(wide(df, fields), list(fields)))
     assert "min_by" not in plan_of(narrow)
+
+
+def test_item_keys_are_made_before_the_items_move(spark):
+    items = spark.createDataFrame(
+        [(1, 1, 1, "a", "x"), (1, 2, 1, "a", "x"), (1, 2, 2, "b", None)],
+        "job_id long, pkg_ord long, item_ord long, item_number string, description string",
+    )
+    targets = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], "job_id long, pkg_ord long, target_ord long")
+    kept = merge.merge_items(items, targets, ITEM, lambda c: c).select("job_id", "target_ord", "pkg_ord", "item_ord")
+    assert sorted(map(tuple, kept.collect())) == [(1, 1, 1, 1), (1, 1, 2, 2)]
+    top = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(top) if "Join" in line]
+    assert not any("sha2" in line for line in top[: joins[-1]])
