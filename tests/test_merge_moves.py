@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cargolens.functions.values import lift
-from cargolens.operators import merge
+from cargolens.operators import merge, scoring
 
 ROWS = "job_id long, segment_no int, pkg_ord long, c string, v string, s string, dim_unit string"
 ITEM = ["item_number", "description"]
@@ -66,3 +66,19 @@ def test_item_keys_are_made_before_the_items_move(spark):
     top = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
     joins = [i for i, line in enumerate(top) if "Join" in line]
     assert not any("sha2" in line for line in top[: joins[-1]])
+
+
+def test_field_scores_travel_as_one_list_a_package(spark):
+    want = spark.createDataFrame(
+        [("d", "A", "w", "1", "float"), ("d", "A", "u", "x", "string"), ("d", "A", "v", "y", "string"), ("d", "B", "w", "1", "float")],
+        "name string, case_number string, field string, value string, value_kind string",
+    )
+    have = spark.createDataFrame(
+        [("d", 1, "w", "1.0", "float"), ("d", 1, "w", "2", "float"), ("d", 1, "u", None, "string")],
+        "name string, pkg_ord long, field string, value string, value_kind string",
+    )
+    actual = spark.createDataFrame([("d", 1, "A")], "name string, pkg_ord long, case_number string")
+    scores = scoring.field_scores(want, have, actual)
+    # w meets two values, one of them right; u is null, v is not there; case B has no package
+    assert [tuple(r) for r in scores.collect()] == [("d", 1, 4)]
+    assert "collect_list" in plan_of(scores)
