@@ -82,3 +82,17 @@ def test_field_scores_travel_as_one_list_a_package(spark):
     # w meets two values, one of them right; u is null, v is not there; case B has no package
     assert [tuple(r) for r in scores.collect()] == [("d", 1, 4)]
     assert "collect_list" in plan_of(scores)
+
+
+def test_conflicts_are_the_same_with_fields_made_after_the_move(spark):
+    df = frame(spark, 7)
+    fields = {n: merge.mapped(F.col(c), status=F.col("s")) for n, c in (("case_number", "c"), ("gross_weight", "v"))}
+    narrow = merge.segment_conflicts(df, fields)
+    same_rows(narrow, merge.segment_conflicts(wide(df, fields), list(fields)))
+
+
+def test_continuation_conflicts_look_at_repeated_cases_only(spark):
+    df = frame(spark, 8)
+    lifted = wide(df, {"case_number": lift(F.col("c")), "gross_weight": lift(F.col("v"))})
+    found = merge.continuation_conflicts(lifted, ["case_number", "gross_weight"])
+    assert found.count() and "LeftSemi" in plan_of(found)
