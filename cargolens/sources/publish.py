@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from cargolens.functions.values import number
 from cargolens.operators.context import ROW_COLUMNS, row_cells
+from cargolens.session import written
 
 # Fixed value: mismatches that a report shows.
 SHOWN_MISMATCHES = 10
@@ -99,6 +100,7 @@ def publish(rows: DataFrame, headers: DataFrame, blocking: DataFrame, path: str)
     spark, run = rows.sparkSession, uuid.uuid4().hex
     known, before = latest_manifest(spark, path)
     asked = blocking.groupBy("project_id").agg(F.max(F.coalesce("blocking", F.lit(1))).cast("long").alias("blocking"))
+    asked = written(asked, "asked-projects")  # gates may stand at the end of long work, and are read four times
     free = asked.filter("blocking = 0").select("project_id")
     columns = ["project_id", "job_id", "excel_row", *ROW_COLUMNS]
     rows = rows.select(*columns).join(free, "project_id", "left_semi")
