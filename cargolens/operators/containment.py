@@ -6,10 +6,12 @@ shares nothing, and a string that comes a million times is compared once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 3
+# Strings of a group that are compared with all others, and parts the others are dealt in.
+FEW, DEALS = 16, 8
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -79,11 +81,33 @@ def extending(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def graded(left: DataFrame, right: DataFrame, on: list[str], key=lambda text: text) -> DataFrame:
     """(on..., left, right, tier): each pair that belongs together with its best tier: equal, extending, or containing (2).
 
-    key folds strings before they are compared for containment.
+    key folds strings before they are compared for containment. The first FEW
+    strings of the right side of a group are compared with all of the left, as
+    their grams would be more rows than these pairs; the others go by grams.
     """
     some, others = left.select(*on, "left").distinct(), right.select(*on, "right").distinct()
     folded_left = some.withColumn("_l", key(F.col("left")))
     folded_right = others.withColumn("_r", key(F.col("right")))
+    if not on:
+        return _graded_by_grams(folded_left, folded_right, on)
+    place = F.row_number().over(Window.partitionBy(*on).orderBy("right"))
+    placed = folded_right.filter(F.col("right").isNotNull()).withColumn("_place", place)
+    # the large side of a group is dealt by its strings, the few and the names of the groups go to every deal
+    dealt = folded_left.filter(F.col("left").isNotNull()).withColumn("_deal", F.pmod(F.hash("left"), F.lit(DEALS)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("_deal")
+    few = placed.filter(F.col("_place") <= FEW).select(*on, "right", "_r", every)
+    more = placed.filter(F.col("_place") > FEW).drop("_place")
+    one, other = F.col("left"), F.col("right")
+    starts = F.startswith(one, F.concat(other, F.lit(","))) | F.startswith(other, F.concat(one, F.lit(",")))
+    holds = F.contains("_l", "_r") | F.contains("_r", "_l")
+    tier = F.when(one == other, 0).when(starts, 1).when(holds, 2)
+    near = dealt.join(few, [*on, "_deal"]).select(*on, "left", "right", tier.alias("tier")).filter(F.col("tier").isNotNull())
+    asked = more.select(*on).distinct().select(*on, every)
+    large = dealt.join(asked, [*on, "_deal"], "left_semi").drop("_deal")
+    return near.unionByName(_graded_by_grams(large, more, on))
+
+
+def _graded_by_grams(folded_left: DataFrame, folded_right: DataFrame, on: list[str]) -> DataFrame:
     left_keys, right_keys = folded_left.select(*on, "_l").distinct(), folded_right.select(*on, "_r").distinct()
     inside = contained(left_keys.withColumnRenamed("_l", "needle"), right_keys.withColumnRenamed("_r", "hay"), on)
     around = contained(right_keys.withColumnRenamed("_r", "needle"), left_keys.withColumnRenamed("_l", "hay"), on)
@@ -92,4 +116,4 @@ def graded(left: DataFrame, right: DataFrame, on: list[str], key=lambda text: te
     )
     pairs = keys.distinct().join(folded_left, [*on, "_l"]).join(folded_right, [*on, "_r"])
     held = pairs.select(*on, "left", "right", F.lit(2).alias("tier"))
-    return extending(some, others, on).unionByName(held).groupBy(*on, "left", "right").agg(F.min("tier").alias("tier"))
+    return extending(folded_left, folded_right, on).unionByName(held).groupBy(*on, "left", "right").agg(F.min("tier").alias("tier"))

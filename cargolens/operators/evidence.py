@@ -83,8 +83,7 @@ def excerpts(chunks: DataFrame, locators: DataFrame) -> DataFrame:
     others = named.distinct().join(best.select("job_id").distinct(), "job_id", "left_anti")
     shown = shown.unionByName(_first(others, ["job_id"], ["document_id", "position"], FALLBACK_EXCERPTS).select(*CHUNK_KEY, "place"))
     return (
-        chunks.select(*CHUNK_KEY, "locator", "text")
-        .dropDuplicates(CHUNK_KEY)
+        chunks.select(*CHUNK_KEY, "locator", F.left("text", F.lit(EXCERPT_CHARS)).alias("text"))
         .join(shown, CHUNK_KEY)
-        .withColumn("text", F.left("text", F.lit(EXCERPT_CHARS)))
+        .dropDuplicates([*CHUNK_KEY, "place"])
     )

@@ -64,3 +64,16 @@ def test_nothing_to_match(spark):
     assert E.excerpts(none, asked).count() == 0
     some = spark.createDataFrame([(1, 1, 1, None, "x"), (1, 1, 2, "Page 3", "y")], none.schema)
     assert {r.text: r.rank for r in E.find_evidence(some, asked.withColumn("locator", F.lit("page 3, part 1"))).collect()} == {"x": 2, "y": 1}
+
+
+def test_few_strings_of_a_group_take_no_grams(spark):
+    """A request a job is compared as it is: more than FEW of a group still go by grams, with the same pairs."""
+    rng = random.Random(6)
+    left = [(j, x) for j in range(4) for x in names(rng, 40)]
+    right = [(j, x) for j in range(4) for x in names(rng, 30 if j == 0 else 1)]
+    frames = spark.createDataFrame(left, "job long, left string"), spark.createDataFrame(right, "job long, right string")
+    rows = [tuple(r) for r in C.graded(*frames, ["job"]).select("job", "left", "right", "tier").collect()]
+    want = {(j, a, b, t) for j, a in left for k, b in right if j == k and (t := tier_of(a, b)) is not None}
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = C.graded(*frames, ["job"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_deal" in plan
