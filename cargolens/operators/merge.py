@@ -8,7 +8,7 @@ values with their type, the second keeps the first value and compares text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolens.functions.values import (
@@ -20,7 +20,7 @@ from cargolens.functions.values import (
     strip,
 )
 from cargolens.operators.fields import SIDES
-from cargolens.operators.ordinals import mark_first
+from cargolens.operators.ordinals import mark_first, of_several_pieces, piece_of
 
 # Rank of a mapping status.
 STATUS_RANK = {"MISSING": 0, "AMBIGUOUS": 1, "SUPPORTED": 2, "CONFIRMED": 3}
@@ -340,12 +340,72 @@ def merge_document_fields(segments: DataFrame) -> DataFrame:
     return flat.join(at, ["job_id", "name", "ord"]).select("job_id", _document_label().alias("path"), "f.value", "f.status")
 
 
-def document_conflicts(segments: DataFrame) -> DataFrame:
-    """Conflicts of order and shipment fields between the segments of a job."""
-    names = _document_names(segments)
-    found = _conflicts(_long(segments, ["job_id"], names), ["job_id", "name"])
-    return found.select(
-        "job_id", F.col("ord").alias("pkg_ord"), "name", _document_label().alias("label"), "left_value", "right_value", "kept_value", "kept_status"
+def document_conflicts(segments: DataFrame, fields=None, segment: str = "segment_no") -> DataFrame:
+    """Conflicts of order and shipment fields between the segments of a job.
+
+    Segments follow each other in the order of ``pkg_ord``, a dense number;
+    segment 1 gives the base. The value held before a segment is carried along
+    in bounded pieces, so segments move once, all fields together; fields given
+    as columns are worked out once they moved. ``segment`` names the column of
+    the segment's number.
+    """
+    fields = _columns(_document_names(segments) if fields is None else fields)
+    keys = ["job_id", "_piece"]
+    cut = segments.dropna(subset=["job_id", "pkg_ord"]).withColumn("_piece", piece_of(F.col("pkg_ord")))
+    first, ord_ = F.coalesce(F.col(segment) == 1, F.lit(False)), F.col("pkg_ord").cast("bigint")
+
+    def states(rows: DataFrame) -> DataFrame:
+        """What a segment brings to each field."""
+        brought = {
+            n: F.struct(
+                f["value"].alias("value"), f["status"].alias("status"), typed_text(f).alias("text"),
+                status_rank(f["status"]).alias("rank"), _present(f).alias("present"),
+            )
+            for n, f in fields.items()
+        }
+        return rows.select(*keys, ord_.alias("ord"), first.alias("first"), *[v.alias(f"_v_{n}") for n, v in brought.items()])
+
+    def best(n: str) -> Column:
+        """The least is held: highest rank, then earliest."""
+        v = F.col(f"_v_{n}")
+        return F.when(~F.col("first") & v["present"], (3 - v["rank"]) * F.lit(1 << 48) + F.col("ord"))
+
+    ends = states(of_several_pieces(cut, ["job_id"])).groupBy(*keys).agg(
+        *[F.max_by(f"_v_{n}", F.when(F.col("first"), F.col("ord"))).alias(f"_b_{n}") for n in fields],
+        *[F.min_by(f"_v_{n}", best(n)).alias(f"_l_{n}") for n in fields],
+        *[F.min(best(n)).alias(f"_c_{n}") for n in fields],
+    )
+    earlier = Window.partitionBy("job_id").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.select(
+        *keys,
+        *[F.last(f"_b_{n}", True).over(earlier).alias(f"_b_{n}") for n in fields],
+        *[F.min_by(f"_l_{n}", f"_c_{n}").over(earlier).alias(f"_l_{n}") for n in fields],
+    )
+    inside = Window.partitionBy(*keys).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    met = states(cut.repartition(*keys)).join(F.broadcast(starts), keys, "left")
+    held = []
+    for n in fields:
+        base = F.coalesce(F.last(F.when(F.col("first"), F.col(f"_v_{n}")), True).over(inside), F.col(f"_b_{n}"))
+        own, before = F.min_by(f"_v_{n}", best(n)).over(inside), F.col(f"_l_{n}")
+        # of equal ranks the earlier piece came first
+        later = F.when(own.isNull() | (before["rank"] >= own["rank"]), F.coalesce(before, own)).otherwise(own)
+        held += [base.alias(f"_b_{n}"), later.alias(f"_l_{n}")]
+    met = met.select("job_id", "ord", "first", *[f"_v_{n}" for n in fields], *held)
+    found = []
+    for n in fields:
+        v, base, later = F.col(f"_v_{n}"), F.col(f"_b_{n}"), F.col(f"_l_{n}")
+        stays = F.coalesce(base["present"], F.lit(False)) & (later.isNull() | (base["rank"] >= later["rank"]))
+        h = F.when(stays, base).otherwise(later)
+        clash = ~F.col("first") & v["present"] & (h["text"] != v["text"])
+        entry = F.struct(F.lit(n).alias("name"), h.alias("held"), v.alias("own"))
+        found.append(F.when(clash, entry))
+    rows = met.select("job_id", "ord", F.inline(F.filter(F.array(*found), lambda c: c.isNotNull())))
+    wins = F.col("own.rank") > F.col("held.rank")
+    return rows.select(
+        "job_id", F.col("ord").alias("pkg_ord"), "name", _document_label().alias("label"),
+        F.col("held.value").alias("left_value"), F.col("own.value").alias("right_value"),
+        F.when(wins, F.col("own.value")).otherwise(F.col("held.value")).alias("kept_value"),
+        F.when(wins, F.col("own.status")).otherwise(F.col("held.status")).alias("kept_status"),
     )
 
 

@@ -69,13 +69,15 @@ def whole_packages(spark, sf):
     )
 
 
+def document_fields():
+    """Order and shipment fields of a segment as columns over the records."""
+    return {n.replace(".", "_"): M.mapped(F.expr(t), status=F.col("status")) for n, t in DOCUMENT_TEXTS.items()}
+
+
 def document_segments(spark, sf):
     """Order and shipment fields of every segment, here one per order line."""
     return bridge.records(spark, sf).select(
-        "job_id",
-        "pkg_ord",
-        F.col("pkg_ord").alias("segment_no"),
-        *[M.mapped(F.expr(t), status=F.col("status")).alias(n.replace(".", "_")) for n, t in DOCUMENT_TEXTS.items()],
+        "job_id", "pkg_ord", F.col("pkg_ord").alias("segment_no"), *[c.alias(n) for n, c in document_fields().items()]
     )
 
 
@@ -177,7 +179,7 @@ def _m3() -> str:
 
 def m6_document_conflicts(spark, sf):
     """Conflicting order and shipment values of the segments."""
-    conflicts = M.document_conflicts(document_segments(spark, sf))
+    conflicts = M.document_conflicts(bridge.records(spark, sf), document_fields(), segment="pkg_ord")
     return conflicts.select("job_id", "pkg_ord", "label", "left_value", "right_value", "kept_value", "kept_status")
 
 
