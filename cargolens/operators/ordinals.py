@@ -53,19 +53,22 @@ def numbered(
     """Add ``name``: 1, 2, … inside each group, in (pieces, order) order.
 
     ``pieces`` are named expressions that never fall along the order, so all
-    rows of a piece come before all rows of the next one.
+    rows of a piece come before all rows of the next one. Rows without a key or
+    piece are dropped.
     """
     marks = list(pieces)
-    cut = df.withColumns(pieces)
+    cut = df.withColumns(pieces).dropna(subset=[*keys, *marks])
+    # a group of at most PIECE_ROWS rows is sorted as it is; of the larger ones there are few, so their list travels
+    large = F.broadcast(cut.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > PIECE_ROWS).select(*keys))
+    whole = Window.partitionBy(*keys).orderBy(*marks, *order)
+    small = cut.join(large, keys, "left_anti").withColumn(name, F.row_number().over(whole).cast("bigint"))
+    cut = cut.join(large, keys, "left_semi")
     counts = cut.groupBy(*keys, *marks).agg(F.count("*").alias("_in_piece"))
     before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, *marks, F.coalesce(F.sum("_in_piece").over(before), F.lit(0)).alias("_so_far"))
     inside = Window.partitionBy(*keys, *marks).orderBy(*order)
-    return (
-        cut.join(offsets, [*keys, *marks])
-        .withColumn(name, F.col("_so_far") + F.row_number().over(inside))
-        .drop(*marks, "_so_far")
-    )
+    pieced = cut.join(offsets, [*keys, *marks]).withColumn(name, F.col("_so_far") + F.row_number().over(inside))
+    return small.drop(*marks).unionByName(pieced.drop(*marks, "_so_far"))
 
 
 def running_total_before(df: DataFrame, keys: list[str], order: str, amount: str, name: str) -> DataFrame:
