@@ -54,14 +54,14 @@ def numbered(
 
     ``pieces`` are named expressions that never fall along the order, so all
     rows of a piece come before all rows of the next one. Rows without a key or
-    piece are dropped.
+    piece are dropped; those without a piece count, as the first ones.
     """
     marks = list(pieces)
-    cut = df.withColumns(pieces).dropna(subset=[*keys, *marks])
+    cut = df.withColumns(pieces).dropna(subset=keys)
     # a group of at most PIECE_ROWS rows is sorted as it is; of the larger ones there are few, so their list travels
     large = F.broadcast(cut.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > PIECE_ROWS).select(*keys))
     whole = Window.partitionBy(*keys).orderBy(*marks, *order)
-    small = cut.join(large, keys, "left_anti").withColumn(name, F.row_number().over(whole).cast("bigint"))
+    small = cut.join(large, keys, "left_anti").withColumn(name, F.row_number().over(whole).cast("bigint")).dropna(subset=marks)
     cut = cut.join(large, keys, "left_semi")
     counts = cut.groupBy(*keys, *marks).agg(F.count("*").alias("_in_piece"))
     before = Window.partitionBy(*keys).orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
