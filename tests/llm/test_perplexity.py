@@ -192,3 +192,28 @@ def test_several_passes_give_the_same(spark, monkeypatch):
     whole = ordered(P.ruled(docs).collect())
     monkeypatch.setattr(P, "MODEL_BYTES", 1)
     assert ordered(P.ruled(docs).collect()) == whole
+
+
+def test_every_byte_is_spelled_apart():
+    # bytes beyond ASCII as the second half of a letter, so that the words are texts
+    words = [f"x{chr(b)}y".encode() for b in range(128) if b not in (32, *range(9, 14))] + [f"x{chr(c)}y".encode() for c in (*range(0xA0, 0x180), 0x4E2D, 0x4E35, 0x1F600, 0x1F608)]
+    block = common.Words([b" ".join(words)], P._TABLE)
+    codes, sizes = P.word_symbols(block, np.arange(len(words)))
+    spelled = [tuple(x) for x in np.split(codes, np.cumsum(sizes)[:-1])]
+    assert len(set(spelled)) == len(words)
+    assert len({(int(a), int(b)) for a, b in zip(P._CLASS, P._WHICH)}) == 256
+
+
+def test_a_word_with_another_digit_or_accent_is_less_likely():
+    seen = ["für", "über", "grün", "Tür", "A1", "B1", "C1", "D1"]
+    block = common.Words([" ".join(seen * 5).encode()], P._TABLE)
+    codes, _ = P.word_symbols(block, np.arange(len(block.hashes)))
+    model = P.estimate(*P._summed(codes, np.ones(len(codes))))
+
+    def log(word):
+        own = common.Words([word.encode()], P._TABLE)
+        return P.log_probabilities(model, P.word_symbols(own, np.arange(1))[0]).sum()
+
+    # U+00EC ends in a byte 16 below that of U+00FC: they were one symbol
+    assert log("für") > log("fìr") + 1
+    assert log("A1") > log("A7") + 1
