@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cargolens.functions.values import lift
-from cargolens.operators import knowledge, rules
+from cargolens.operators import fields, knowledge, rules
+from cargolens.session import EXCLUDED_RULE, tune
 
 PACKAGE = "job_id long, pkg_ord long, c string, g string, n string, dim_unit string"
 ITEM = "job_id long, pkg_ord long, item_ord long, q string, u string"
@@ -50,3 +51,37 @@ def test_merged_rules_end_the_lineage_of_their_blocks(spark):
     merged = knowledge.merged_rules(knowledge.rule_entries(knowledge.rule_blocks(docs, "r")))
     assert sorted((tuple(r.keys_), r.value) for r in merged.withColumnRenamed("keys", "keys_").collect())[0] == (("a", "b"), "2")
     assert "Python" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def records(spark):
+    lines = spark.createDataFrame([(1, 1, "A", "5", "AMBIGUOUS"), (1, 2, None, "x", "SUPPORTED"), (2, 1, "B", None, "AMBIGUOUS")], "job_id long, pkg_ord long, c string, g string, s string")
+    own = {"case_number": lift(F.col("c"), None, F.col("s"), F.lit("Page 1")), "gross_weight": lift(F.col("g"), F.lit("KG"), F.col("s"))}
+    return fields.package_records(lines, own)
+
+
+def test_ambiguous_fields_of_records_equal_those_of_field_rows(spark):
+    part = records(spark)
+    found = rules.ambiguity_record_issues([part])
+    whole = rules.ambiguity_issues(part.field_rows(part.rows))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    assert sorted((r.job_id, r.field_path, r.case_number) for r in found.collect()) == [
+        (1, "packages[0].case_number", "A"), (2, "packages[0].case_number", "B"),
+    ]
+
+
+def test_issues_are_worked_out_once(spark):
+    """An array of issues is neither made again to see that it has entries nor held by a function that is not compiled."""
+    for found in (rules.package_issues(packages(spark), {"GROSS_BELOW_NET", "CASE_NUMBER_MISSING"}), rules.ambiguity_record_issues([records(spark)])):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(array(" not in plan and "filter(array(" not in plan and "size(filter(" not in plan
+
+
+def test_rules_left_out_of_a_session_stay_out(spark):
+    name, other = "spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.LikeSimplification"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, other)
+        tune(tune(spark))
+        assert spark.conf.get(name).split(",") == [other, EXCLUDED_RULE]
+    finally:
+        spark.conf.set(name, before)
